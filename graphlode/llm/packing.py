@@ -90,19 +90,20 @@ def pack(
 
     encoded = stash(bodies(docs).mapInArrow(encode, "part long, place long, k long, ids binary, n long"), "pack-ids")
 
-    # One number per partition of the scan, whatever the number of documents.
+    # One number per partition of the scan, whatever the number of documents: a million partitions make 16 MB.
     totals = sorted((r.part, r.n) for r in encoded.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    bases, at = [], 0
+    bases, at = {}, 0
     for part, n in totals:
-        bases.append((part, at))
+        bases[part] = at
         at += n
-    starts = docs.sparkSession.createDataFrame(bases, "part long, base long")
-    placed = encoded.join(starts, "part").select("k", "ids", (F.col("base") + F.col("place")).alias("at"))
+    held = docs.sparkSession.sparkContext.broadcast(bases)
 
     def cut(batches):
+        bases = held.value
         for batch in batches:
             rows = []
-            for k, body, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, place, k, body, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                at = bases[part] + place
                 ids = np.frombuffer(body, dtype="<u2").astype("<u4")
                 n, start = len(ids), 0
                 while start < n:
@@ -111,4 +112,4 @@ def pack(
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 7, ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return placed.mapInArrow(cut, PIECES).select(doc_id(), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return encoded.mapInArrow(cut, PIECES).select(doc_id(), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
