@@ -77,3 +77,25 @@ def per_worker(key: str, make):
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def annotate(docs: DataFrame, fn, fields: str, carry=("doc_id",)) -> DataFrame:
+    """``row`` (a struct of the carried columns), ``k`` and ``fields``, which ``fn`` makes from a list of bodies.
+
+    ``fn`` returns one list of values per field.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    added = T.StructType.fromDDL(fields)
+    kinds, names = [to_arrow_type(f.dataType) for f in added], ["row", "k", *added.names]
+
+    def run(batches):
+        for batch in batches:
+            columns = fn(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+
+    source = bodies(docs, F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")).select("row", "k", "body")
+    schema = T.StructType([source.schema["row"], T.StructField("k", T.LongType()), *added])
+    return source.mapInArrow(run, schema)

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing
+from . import decontaminate, linededup, packing, qualityrules
+from .common import doc_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qualityrules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select(doc_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,7 +30,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op4_quality_rules, op7_line_dedup, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
