@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, qualityrules
+from . import decontaminate, hmm, licenses, linededup, mil, packing, qualityrules, toxicity
 from .common import doc_id
 
 
@@ -12,11 +13,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(doc_id(), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = toxicity.fold(F.col("row.doc_id"), 3) == 1
+    return found.select(doc_id(), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = qualityrules.quality_rules(table(spark, sf_dir, "documents"))
     return found.select(doc_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_language(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mil.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = toxicity.fold(F.col("row.doc_id"), 5) == 0
+    return found.select(doc_id(), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -30,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality_rules, op7_line_dedup, op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_quality_rules, op5_lm_scoring, op6_quality_classifier, op7_line_dedup, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
