@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, licenses, linededup, mil, packing, qualityrules, toxicity
+from . import decontaminate, hmm, licenses, linededup, mil, minhash, packing, qualityrules, toxicity
 from .common import doc_id
 
 
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(minhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=4))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_quality_rules, op5_lm_scoring, op6_quality_classifier, op7_line_dedup, op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_quality_rules, op5_lm_scoring, op6_quality_classifier, op7_line_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
