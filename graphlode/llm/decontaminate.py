@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bodies, doc_id
+from .common import annotate, doc_id
 
 #: Bytes outside words become blanks and A-Z lower case; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -85,7 +85,7 @@ class WuManber:
             end += 1
 
 
-def search(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataFrame:
+def search(docs: DataFrame, items: list[tuple[str, bytes]], width: int, carry) -> DataFrame:
     """One pass: per document its number of words, the hit ranges of words and the items found."""
     found_in = windows(items, width)
     by_length = defaultdict(list)
@@ -94,27 +94,20 @@ def search(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataF
     tables = [WuManber(p) for _, p in sorted(by_length.items())]
     held = docs.sparkSession.sparkContext.broadcast((tables, found_in))
 
-    def scan(batches):
+    def scan(bodies_):
         tables, found_in = held.value
-        for batch in batches:
-            n_words, spans, names, sums = [], [], [], []
-            for body in batch.column(1).to_pylist():
-                w = words(body)
-                got, ranges = set(), []
-                for table in tables:
-                    for start, p in table(w):
-                        got |= found_in[p]
-                        ranges.append((start, start + len(p)))
-                n_words.append(len(w))
-                spans.append(union(ranges))
-                names.append(sorted(got))
-                sums.append(zlib.crc32(body))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sums, pa.int64()), pa.array(n_words, pa.int64()), pa.array([[x for s in r for x in s] for r in spans], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                ["k", "sum", "n_words", "spans", "items"],
-            )
-
-    return bodies(docs).mapInArrow(scan, "k long, sum long, n_words long, spans array<long>, items array<string>")
+        rows = []
+        for body in bodies_:
+            w = words(body)
+            got, ranges = set(), []
+            for table in tables:
+                for start, p in table(w):
+                    got |= found_in[p]
+                    ranges.append((start, start + len(p)))
+            rows.append((zlib.crc32(body), len(w), [x for r in union(ranges) for x in r], sorted(got)))
+        return list(zip(*rows)) if rows else [[]] * 4
+
+    return annotate(docs, scan, "sum long, n_words long, spans array<long>, items array<string>", carry)
 
 
 def union(ranges):
@@ -128,18 +121,20 @@ def union(ranges):
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_items: int = 1, group_windows: int = 1_000_000) -> DataFrame:
-    """Per document: words, words hit by a benchmark window, items found and whether they are over ``most_items``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_items: int = 1, group_windows: int = 1_000_000, carry=("doc_id",)) -> DataFrame:
+    """``row`` (the carried columns), ``k`` and per document: ``n_words``, the ranges of words hit (``spans``: start, end,
+    start, ...), ``items`` found, and ``contaminated``: whether they are over ``most_items``.
+    """
     items = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))
     passes, group, size = [], [], 0
     for item, body in items.orderBy(F.col("item_id")).toLocalIterator():  # one group at a time reaches the driver
         group.append(("" if item is None else item, bytes(body)))
         size += max(1, len(words(body)))
         if size >= group_windows:
-            passes.append(search(docs, group, width))
+            passes.append(search(docs, group, width, carry))
             group, size = [], 0
     if group or not passes:
-        passes.append(search(docs, group, width))
+        passes.append(search(docs, group, width, carry))
     found = passes[0]
     if len(passes) > 1:
         for other in passes[1:]:
@@ -154,17 +149,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_it
             return pa.Table.from_pylist([r | {"spans": flat, "items": names} for r in out], schema=table.schema)
 
         found = found.groupBy("k", "sum").applyInArrow(together, found.schema)
-    return digest(found, most_items)
+    return found.withColumn("contaminated", F.size("items") > most_items)
 
 
-def digest(found: DataFrame, most_items: int) -> DataFrame:
-    n_hit = F.aggregate(F.col("spans"), F.lit(0).cast("long"), lambda a, x: x - a)  # e2-(s2-(e1-s1)) telescopes for pairs
-    n_items = F.size("items").cast("long")
+def digest(found: DataFrame) -> DataFrame:
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: x - total)  # of pairs: end - (start - total)
     return found.select(
         doc_id(),
         "n_words",
         n_hit.alias("n_hit"),
-        n_items.alias("n_items"),
+        F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (n_items > most_items).alias("contaminated"),
+        "contaminated",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, licenses, linededup, mil, minhash, packing, qualityrules, toxicity
+from . import decontaminate, hmm, licenses, linededup, mil, minhash, packing, qualityrules, suffixdedup, toxicity
 from .common import doc_id
 
 
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id(), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     held_out = toxicity.fold(F.col("row.doc_id"), 3) == 1
@@ -48,7 +52,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_quality_rules, op5_lm_scoring, op6_quality_classifier, op7_line_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_suffix_array_dedup, op3_toxicity, op4_quality_rules, op5_lm_scoring, op6_quality_classifier, op7_line_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
