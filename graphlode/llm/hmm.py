@@ -317,7 +317,9 @@ def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds:
     n_tokens, n_words = int(of_class.sum()), int(in_class.sum())
 
     frequency = (of_class + 0.5) / (of_class + 0.5).sum()
-    warm = encoded.filter("ids IS NOT NULL AND NOT held_out").select("k", "classes").orderBy(F.xxhash64("k"), "k", "classes").limit(warm_docs)
+    train = encoded.filter("ids IS NOT NULL AND NOT held_out").select("k", "classes")
+    picked = train.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(warm_docs)  # keys only: tasks send few bytes
+    warm = train.join(F.broadcast(picked), "k").orderBy("k", "classes")
     model, sample = Model.draw(frequency), [np.frombuffer(bytes(r.classes), "<u2").astype(np.int32) for r in warm.collect()]
     for _ in range(warm_rounds if sample else 0):
         total = None
