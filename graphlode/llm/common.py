@@ -75,6 +75,13 @@ def per_worker(key: str, make):
     return getattr(held, key)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows``, so Python objects exist for a part at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,7 +99,7 @@ def annotate(docs: DataFrame, fn, fields: str, carry=("doc_id",)) -> DataFrame:
     kinds, names = [to_arrow_type(f.dataType) for f in added], ["row", "k", *added.names]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = fn(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 

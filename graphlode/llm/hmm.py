@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import NO_ID, bodies, shuffle_width, stash
+from .common import slices as parts_of
 from .toxicity import fold
 
 SEGMENT = 64
@@ -92,7 +93,7 @@ def encode(docs: DataFrame, held_out, block_words: int, block_tokens: int) -> Da
                 ["block", "k", "held_out", "ids", "classes", "word", "id", "n"],
             )
 
-        for batch in batches:
+        for batch in parts_of(batches):
             ks, outs, bodies_ = (batch.column(i).to_pylist() for i in range(3))
             at = 0
             while at < len(ks):

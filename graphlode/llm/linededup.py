@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bodies, doc_id, shuffle_width, stash
+from .common import bodies, doc_id, shuffle_width, slices, stash
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -90,7 +90,7 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             ks, digests = [], []
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {x for line in body.split(b"\n") if len(line) >= least and (x := line_key(line, least)) is not None}
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sha
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             totals, dropped, kept = [], [], []
             for body, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 n = body.count(b"\n") + 1

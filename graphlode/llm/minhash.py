@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIB, NO_ID, annotate, bodies, doc_id, per_worker, shuffle_width, stash
+from .common import MIB, NO_ID, annotate, bodies, doc_id, per_worker, shuffle_width, slices, stash
 from .components import components
 
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -213,7 +213,7 @@ def linked(rows: DataFrame, by: list[str], width: int, ngram: int, percent: int,
             links = link_block(keys, labels, sets, percent, sides if two_sided else None) if len(set(labels)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             names = list(zip(*(batch.column(i).to_pylist() for i in range(w))))
             for name, k, label, side, body in zip(names, *(batch.column(w + i).to_pylist() for i in range(4))):
                 if name != now:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bodies, doc_id, per_worker, stash
+from .common import bodies, doc_id, per_worker, slices, stash
 
 PIECES = "k long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -73,7 +73,7 @@ def pack(
 
     def encode(batches):
         ids_of, place, part = byte_bpe(vocabulary, ranks), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             keys, out, places, counts = batch.column(0), [], [], []
             for body in batch.column(1).to_pylist():
                 ids = ids_of(body.decode("utf-8", "replace"))
@@ -100,7 +100,7 @@ def pack(
 
     def cut(batches):
         bases = held.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for part, place, k, body, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 at = bases[part] + place

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KIB, MIB, bodies, doc_id, shuffle_width, stash
+from .common import KIB, MIB, bodies, doc_id, shuffle_width, slices, stash
 
 GRAM = 24
 PLACE = np.uint64((1 << 20) - 1)
@@ -299,7 +299,7 @@ def fragments(docs: DataFrame, length: int, chunk: int, settle_bytes: int) -> Da
             d, start, starts, h, f = anchors(text, np.array([len(x) for x in texts]), length)
             return h, f, np.array(ks, np.int64)[d], (start + np.array(base, np.int64)[d]) << 8 | (starts - 1)
 
-        for batch in batches:
+        for batch in slices(batches):
             ks, texts, base, n = [], [], [], 0
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(body) < length:
@@ -369,7 +369,7 @@ def sort_shards(texts: DataFrame, width: int, length: int, shard_bytes: int) ->
             k, lo, hi = merge(k, p, p + length)
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(lo << 32 | hi)], ["k", "span"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for h, k, start, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if size >= shard_bytes and h != last:
                     yield done()
@@ -402,7 +402,7 @@ def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
     return strings.join(firsts, ["x", "y"]).filter("k != first.k OR p != first.p").select("k", F.shiftleft("p", 32).bitwiseOR(F.col("p") + length).alias("span"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 256 * KIB, settle_bytes: int = 32 * MIB, shard_bytes: int = MIB, hot_fragments: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 256 * KIB, settle_bytes: int = 16 * MIB, shard_bytes: int = 512 * KIB, hot_fragments: int = 20_000) -> DataFrame:
     """``k``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay) for every row."""
     width = shuffle_width(docs.sparkSession)
     found = stash(meet(fragments(docs, length, chunk, settle_bytes), width, length, hot_fragments), "repeat-fragments")
@@ -411,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 256 * KIB, s
     asked = found.filter("h IS NOT NULL").groupBy("k").agg(F.collect_list(F.struct("span", "h", "hot")).alias("asked"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 250):
             hs, ks, starts, outs, hots = [], [], [], [], []
             for k, body, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for x in asked:
@@ -437,7 +437,7 @@ def cut_out(placed: DataFrame, spans: DataFrame) -> DataFrame:
     each = spans.groupBy("k").agg(F.collect_list("span").alias("spans"))  # ranges of one document
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             sizes, removed, counts, kept = [], [], [], []
             for body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 gone, runs, rest, at = 0, 0, [], 0
