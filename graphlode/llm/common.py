@@ -54,13 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and return the written table.
 
     The table survives the loss of any executor.  It is removed when the driver ends.
+    ``few`` is for tables that are small beside the shuffle that makes them: a task
+    writes several of its partitions, so there are fewer files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphlode/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(max(24, shuffle_width(spark) // 8))
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

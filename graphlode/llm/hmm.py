@@ -311,6 +311,7 @@ def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds:
         .filter("c > 0")
         .select("block", "id", "c", (F.col("turn") == 1).alias("once"), F.when(F.length("word") == 0, 0).otherwise(F.crc32("word") % (CLASSES - 1) + 1).cast("int").alias("class")),
         "lm-counts",
+        few=True,
     )
     in_class, of_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counted.filter("once").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():

@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sha
     spark = docs.sparkSession
     width = shuffle_width(spark)
     lines = stash(line_hashes(docs, least_chars), "line-hashes")
-    often = stash(lines.groupBy("h", "f").agg(F.countDistinct("k").alias("n"), F.max("k").alias("last")).filter(F.col("n") >= least_docs), "line-keys")
+    often = stash(lines.groupBy("h", "f").agg(F.countDistinct("k").alias("n"), F.max("k").alias("last")).filter(F.col("n") >= least_docs), "line-keys", few=True)
     n_shards = max(1, -(-often.count() // shard_keys))
     hits = probe(lines, shards(often, n_shards), n_shards, max(1, width // n_shards), width, least_docs)
     drops = hits.distinct().groupBy("k").agg(F.collect_list("h").alias("drops"))  # at most a document's own lines

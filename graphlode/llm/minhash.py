@@ -233,11 +233,11 @@ def linked(rows: DataFrame, by: list[str], width: int, ngram: int, percent: int,
 def link(docs: DataFrame, reps: DataFrame, halves: int, ngram: int, percent: int, block_bytes: int) -> DataFrame:
     """Component of every representative that has one (``v``, ``component``)."""
     width = shuffle_width(docs.sparkSession)
-    pairs = stash(ties(reps, halves, least=percent / 100 - 0.3), "minhash-ties")
+    pairs = stash(ties(reps, halves, least=percent / 100 - 0.3), "minhash-ties", few=True)
     groups = components(pairs, "a", "b").select(F.col("v").alias("k"), F.col("component").alias("grp"))
     texts = bodies(docs).join(reps.select("k", "n").join(groups, "k"), "k")
     classes = F.floor(F.log("n") / np.log(1.1)).cast("int")
-    cand = stash(texts.select("k", "n", "grp", "body", F.length("body").alias("size"), classes.alias("cls")), "minhash-texts")
+    cand = stash(texts.select("k", "n", "grp", "body", F.length("body").alias("size"), classes.alias("cls")), "minhash-texts", few=True)
     of_group = cand.groupBy("grp").agg(F.sum("size").alias("all"))
     of_class = cand.groupBy("grp", "cls").agg(F.sum("size").alias("part")).join(of_group, "grp")
     plan = of_class.select(
@@ -248,10 +248,10 @@ def link(docs: DataFrame, reps: DataFrame, halves: int, ngram: int, percent: int
     )
     placed = cand.join(plan, ["grp", "cls"]).withColumn("split", F.pmod(F.xxhash64("k"), F.col("splits")).cast("int"))
     one = placed.select("grp", "blk", "split", "k", F.col("k").alias("label"), F.lit(0).alias("side"), "body")
-    links = stash(linked(one, ["grp", "blk", "split"], width, ngram, percent, False), "minhash-links")
+    links = stash(linked(one, ["grp", "blk", "split"], width, ngram, percent, False), "minhash-links", few=True)
     found = components(links, "a", "b")
 
-    many = stash(plan.filter("blk >= 0").select("grp").distinct(), "minhash-large")
+    many = stash(plan.filter("blk >= 0").select("grp").distinct(), "minhash-large", few=True)
     if many.isEmpty():
         return found
 
@@ -262,11 +262,11 @@ def link(docs: DataFrame, reps: DataFrame, halves: int, ngram: int, percent: int
     heads = labelled(found).filter("label = k")
     fits = heads.groupBy("grp").agg(F.sum(F.length("body")).alias("all")).filter(F.col("all") <= 4 * block_bytes).select("grp")
     more = linked(heads.join(fits, "grp", "left_semi").withColumn("side", F.lit(0)), ["grp"], width, ngram, percent, False)
-    links = stash(links.unionByName(more), "minhash-links")
+    links = stash(links.unionByName(more), "minhash-links", few=True)
     found = components(links, "a", "b")
 
     # Pairs of blocks of compatible sizes that are not one component.
-    now = stash(labelled(found), "minhash-blocks")
+    now = stash(labelled(found), "minhash-blocks", few=True)
     blocks = now.groupBy("grp", "blk", "split").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.1)))
     x = blocks.toDF("grp", "blk_x", "split_x", "low_x", "high_x")
@@ -275,14 +275,14 @@ def link(docs: DataFrame, reps: DataFrame, halves: int, ngram: int, percent: int
     name = ["grp", "blk_x", "split_x", "blk_y", "split_y"]
     legs = near.select(*name, F.inline(F.array(F.struct(F.col("blk_x").alias("blk"), F.col("split_x").alias("split"), F.lit(0).alias("side")), F.struct(F.col("blk_y").alias("blk"), F.col("split_y").alias("split"), F.lit(1).alias("side")))))
     last = linked(now.join(legs, ["grp", "blk", "split"]).select(*name, "k", "label", "side", "body"), name, width, ngram, percent, True)
-    return components(stash(links.unionByName(last), "minhash-links"), "a", "b")
+    return components(stash(links.unionByName(last), "minhash-links", few=True), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, halves: int = 10, block_bytes: int = 2 * MIB) -> DataFrame:
     """``k``, ``n_shingles`` and ``component`` (the least document reachable) for every row."""
     sig = stash(signatures(docs, ngram, halves, ("doc_id",)).select("k", "n", "digest", "sig"), "minhash-signatures")
     classes = sig.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("k").alias("rep"))
-    reps = stash(sig.join(classes, "digest").filter("k = rep").select("k", "n", "digest", "sig").dropDuplicates(["digest"]), "minhash-classes")
+    reps = stash(sig.join(classes, "digest").filter("k = rep").select("k", "n", "digest", "sig").dropDuplicates(["digest"]), "minhash-classes", few=True)
     found = link(docs, reps, halves, ngram, percent, block_bytes)
     of_class = reps.select("digest", F.col("k").alias("rep")).join(found, F.col("rep") == found["v"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     each = sig.select("k", "n", "digest").join(of_class, "digest", "left")

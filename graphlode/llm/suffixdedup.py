@@ -405,7 +405,7 @@ def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 256 * KIB, settle_bytes: int = 16 * MIB, shard_bytes: int = 512 * KIB, hot_fragments: int = 20_000) -> DataFrame:
     """``k``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay) for every row."""
     width = shuffle_width(docs.sparkSession)
-    found = stash(meet(fragments(docs, length, chunk, settle_bytes), width, length, hot_fragments), "repeat-fragments")
+    found = stash(meet(fragments(docs, length, chunk, settle_bytes), width, length, hot_fragments), "repeat-fragments", few=True)
     placed = bodies(docs).repartition(width, "k")  # both joins below read this one exchange
 
     asked = found.filter("h IS NOT NULL").groupBy("k").agg(F.collect_list(F.struct("span", "h", "hot")).alias("asked"))
