@@ -107,7 +107,11 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``.  Spark broadcasts the limits if their size allows, else it splits a hot source."""
+    """``measured`` with ``kept``.
+
+    The limits are a written table, so Spark knows their size before it plans: it
+    broadcasts them if that allows, else it splits a hot source.
+    """
     within = ~F.col("base_failed")
     for m in RULES:
         within = within & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
@@ -118,7 +122,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Measures and verdict for each document; the text is read once."""
     measured = stash(measure(docs), "quality-measures")
-    return judge(measured, fences(sketches(measured)))
+    return judge(measured, stash(fences(sketches(measured)), "quality-limits", few=True))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -126,5 +130,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Texts are measured a second time beside their limits, so they are never shuffled.
     """
-    limits = fences(sketches(measure(docs)))
+    limits = stash(fences(sketches(measure(docs))), "quality-limits", few=True)
     return judge(measure(docs, carry=docs.columns), limits).filter("kept").select("row.*")
