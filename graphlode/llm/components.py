@@ -39,23 +39,14 @@ def mark(edges: DataFrame) -> tuple:
     return r.n, r.s
 
 
-def components(edges: DataFrame, a: str, b: str, cut_every: int = 4) -> DataFrame:
-    """``v`` and ``component``, the least vertex reachable, for every vertex with an edge.
-
-    Rounds are cached; a lost executor costs their recomputation since the last cut.
-    """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct().persist()
-    seen, turn = mark(now), 0
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``v`` and ``component``, the least vertex reachable, for every vertex with an edge."""
+    now = stash(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "edges", few=True)
+    seen = mark(now)
     while seen[0]:
-        turn += 1
-        after = small_star(large_star(now))
-        after = stash(after, "edges", few=True) if turn % cut_every == 0 else after.persist()
-        then, seen = seen, mark(after)
-        now.unpersist()
-        now = after
+        now = stash(small_star(large_star(now)), "edges", few=True)
+        then, seen = seen, mark(now)
         if then == seen:
             break
     stars = now.select(F.col("u").alias("v"), F.col("v").alias("component"))
-    out = stash(stars.unionByName(now.select("v", F.col("v").alias("component"))).groupBy("v").agg(F.min("component").alias("component")), "components", few=True)
-    now.unpersist()
-    return out
+    return stars.unionByName(now.select("v", F.col("v").alias("component"))).groupBy("v").agg(F.min("component").alias("component"))

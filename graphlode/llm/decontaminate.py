@@ -140,12 +140,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, most_it
         for other in passes[1:]:
             found = found.unionByName(other)
 
+        n_passes = len(passes)
+
         def together(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
             ranges = [(s[i], s[i + 1]) for s in (r["spans"] for r in rows) for i in range(0, len(s), 2)]
             names = sorted({x for r in rows for x in r["items"]})
             flat = [x for s in union(ranges) for x in s]
-            out = rows[: len(rows) // len(passes)]  # as many as rows of the documents that are alike
+            out = rows[: len(rows) // n_passes]  # as many as rows of the documents that are alike
             return pa.Table.from_pylist([r | {"spans": flat, "items": names} for r in out], schema=table.schema)
 
         found = found.groupBy("k", "sum").applyInArrow(together, found.schema)
