@@ -11,7 +11,7 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.text(root, wholetext=True)
     head = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n", 1)
     field = lambda k: F.trim(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1))
-    tags = F.filter(F.transform(X, lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.regexp_replace(field("tags"), r"[\[\]]", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
     return raw.select(field("id").alias("id"), field("kind").alias("kind"), tags.alias("tags"), F.regexp_replace("value", r"(?s)^---\n.*?\n---\n", "").alias("body"))
 
 
