@@ -96,9 +96,9 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.
     "op9_benchmark_decontamination": f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
  p AS (SELECT DISTINCT item, len(g) AS m, array_to_string(g, ' ') AS g FROM (SELECT item, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 8 THEN [w] ELSE list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7]) END) AS g FROM i)),
  d AS (SELECT doc_id, {WORDS} AS w FROM documents),
- x AS (SELECT doc_id, m, at, array_to_string(w[at:at + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS at FROM d CROSS JOIN (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
- h AS (SELECT doc_id, item, at, x.m FROM x JOIN p ON p.m = x.m AND p.g = x.g),
- c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + m)) AS q FROM h) GROUP BY 1),
+ x AS (SELECT doc_id, m, pos, array_to_string(w[pos:pos + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS pos FROM d CROSS JOIN (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+ h AS (SELECT doc_id, item, pos, x.m FROM x JOIN p ON p.m = x.m AND p.g = x.g),
+ c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + m)) AS q FROM h) GROUP BY 1),
  n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
