@@ -49,7 +49,7 @@ def trigrams(text: Column) -> Column:
 def snippet(text: Column, most: int = 500) -> Column:
     """At most ``most`` characters, cut back to the last line end if the text is longer."""
     head = F.left(text, F.lit(most))
-    return F.when(F.char_length(text) <= most, text).otherwise(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head))
 
 
 def occurrences(text: Column, pattern: str) -> Column:

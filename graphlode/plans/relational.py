@@ -74,7 +74,7 @@ def window_orders(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, sf_dir, "orders").filter("o_custkey < 300")
     return o.select(
-        "o_custkey", "o_orderkey", F.row_number().over(w).alias("turn"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), (F.col("o_orderkey") - F.lag("o_orderkey").over(w)).alias("gap"), F.ntile(4).over(w).alias("quarter")
+        "o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("turn"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), (F.col("o_orderkey") - F.lag("o_orderkey").over(w)).alias("gap"), F.ntile(4).over(w).cast("long").alias("quarter")
     )
 
 

@@ -163,7 +163,7 @@ def modality_slots(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = F.array(*(F.lit(float(x)) for x in e.filter("vec_id = 1").first().embedding))
     scored = e.select("label", "vec_id", F.round(retrieval.cosine(F.transform("embedding", lambda x: x.cast("double")), q), 6).alias("score"))
-    return retrieval.diversity_slots(scored, "label", "score", "vec_id", 3).select("label", "vec_id", "score", F.col("slot"))
+    return retrieval.diversity_slots(scored, "label", "score", "vec_id", 3).select("label", "vec_id", "score", F.col("slot").cast("long").alias("slot"))
 
 
 QUALITY = """q AS (SELECT vec_id AS query, label AS ql, list_transform(embedding, lambda x: x::DOUBLE) AS qe FROM embeddings WHERE vec_id < 10),
