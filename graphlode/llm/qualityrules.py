@@ -30,7 +30,7 @@ GAMMA = 1.02
 #: Measure (per thousand words, or per thousand): least distance of its upper and lower fence from the median.
 RULES = {
     "symbol_rate": (150.0, None),
-    "repeat_rate": (350.0, None),
+    "repeat_rate": (500.0, None),
     "dup_line_rate": (450.0, None),
     "mean_word": (3000.0, 2500.0),
 }
