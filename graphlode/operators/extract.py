@@ -208,3 +208,64 @@ def style_profile(files: DataFrame, by: str) -> DataFrame:
     kind = F.when(tabs > blanks, "tabs").when(blanks > 0, "spaces").otherwise("none")
     count = files.select(by, kind.alias("indent")).groupBy(by, "indent").agg(F.count("*").alias("n"))
     return count.groupBy(by).agg(F.max_by("indent", F.struct("n", "indent")).alias("dominant"), (F.max("n") / F.sum("n")).alias("share"))
+
+
+#: Kinds of lines of a page's code and how they look (fixed values).
+SLICES = {
+    "event": r"(?i)\bhandles\s+\w+\.\w+|\bsub\s+\w+_\w+|\bon(?:click|change|load)\b",
+    "ui": r"(?i)<asp:|\.(?:text|visible|enabled)\s*=",
+    "data": r"(?i)\b(?:datasource|databind|dataset|datatable|gridview)\b",
+    "sql": r"(?i)\b(?:select\s.+\sfrom|insert\s+into|update\s+\w+\s+set|delete\s+from|exec(?:ute)?\s+\w+)\b",
+    "state": r"(?i)\b(?:session|viewstate|application|cache)\s*[\(\[]",
+}
+
+
+def logical_slice(files: DataFrame, kinds: list[str], around: int = 1) -> DataFrame:
+    """Lines of some kinds with the lines around them: ``path``, ``line_no``, ``line``."""
+    pattern = "|".join(f"(?:{SLICES[k]})" for k in kinds)
+    rows = files.select("path", F.split("content", "\n").alias("all")).withColumn("hits", F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.element_at("all", i.cast("int")).rlike(pattern)))
+    near = rows.select("path", "all", F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - around, F.lit(1)), F.least(i + around, F.size("all"))))))).alias("line_no"))
+    return near.select("path", F.col("line_no").cast("long").alias("line_no"), F.element_at("all", F.col("line_no").cast("int")).alias("line"))
+
+
+def settings(files: DataFrame) -> DataFrame:
+    """Application settings and connection strings of configuration files (``path``, ``content``)."""
+    x = lambda p: F.xpath("content", F.lit(p))
+    each = F.concat(
+        F.transform(F.arrays_zip(x("//appSettings/add/@key").alias("k"), x("//appSettings/add/@value").alias("v")), lambda s: F.struct(F.lit("setting").alias("kind"), s["k"].alias("name"), s["v"].alias("value"))),
+        F.transform(F.arrays_zip(x("//connectionStrings/add/@name").alias("k"), x("//connectionStrings/add/@connectionString").alias("v")), lambda s: F.struct(F.lit("connection").alias("kind"), s["k"].alias("name"), s["v"].alias("value"))),
+    )
+    return files.select("path", F.inline(each))
+
+
+def access_rules(files: DataFrame) -> DataFrame:
+    """Who may and may not reach the locations of a configuration file."""
+    location = F.explode(F.regexp_extract_all("content", F.lit(r'(?is)<location\s+path="[^"]*".*?</location>'), F.lit(0)))
+    rows = files.select("path", location.alias("block"))
+    return rows.select("path", F.regexp_extract("block", r'(?i)path="([^"]*)"', 1).alias("location"), F.regexp_extract_all("block", F.lit(r'(?i)<allow\s+\w+="([^"]*)"'), F.lit(1)).alias("allow"), F.regexp_extract_all("block", F.lit(r'(?i)<deny\s+\w+="([^"]*)"'), F.lit(1)).alias("deny"))
+
+
+def bundles(files: DataFrame) -> DataFrame:
+    """Asset bundles and what they include."""
+    m = F.explode(F.regexp_extract_all("content", F.lit(r'(?s)new\s+(?:Script|Style)Bundle\(\s*"[^"]+"\s*\)\s*\.Include\((?:[^)]*)\)'), F.lit(0)))
+    rows = files.select("path", m.alias("m"))
+    return rows.select("path", F.regexp_extract("m", r'Bundle\(\s*"([^"]+)"', 1).alias("bundle"), F.explode(F.filter(F.regexp_extract_all("m", F.lit(r'"(~[^"]+)"'), F.lit(1)), lambda x: x != F.regexp_extract("m", r'Bundle\(\s*"([^"]+)"', 1))).alias("asset"))
+
+
+def report_fields(files: DataFrame) -> DataFrame:
+    """Data sets and fields of report definitions."""
+    name = F.explode(F.regexp_extract_all("content", F.lit(r'(?s)<DataSet\s+Name="[^"]+".*?</DataSet>'), F.lit(0)))
+    rows = files.select("path", name.alias("m"))
+    return rows.select("path", F.regexp_extract("m", r'<DataSet\s+Name="([^"]+)"', 1).alias("data_set"), F.trim(F.regexp_extract("m", r"(?s)<CommandText>(.*?)</CommandText>", 1)).alias("sql"), F.explode_outer(F.regexp_extract_all("m", F.lit(r'<Field\s+Name="([^"]+)"'), F.lit(1))).alias("field"))
+
+
+def cluster_terms(labels: DataFrame, texts: DataFrame, node: str, text: str, k: int) -> DataFrame:
+    """The terms that set each cluster apart: frequency inside times inverse frequency over clusters."""
+    from pyspark.sql.window import Window
+
+    terms = labels.join(texts.select(F.col(node).alias("node"), F.explode(F.array_distinct(tx.words(F.col(text)))).alias("term")), "node").groupBy("label", "term").agg(F.count("*").alias("n"))
+    spread = terms.groupBy("term").agg(F.count("*").alias("clusters"))
+    total = labels.agg(F.count_distinct("label").alias("total"))
+    scored = terms.join(spread, "term").crossJoin(F.broadcast(total)).withColumn("score", F.col("n") * F.log(1 + F.col("total") / F.col("clusters")))  # total: one row
+    w = Window.partitionBy("label").orderBy(F.desc("score"), "term")
+    return scored.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= k).select("label", "term", "n", "score")

@@ -105,3 +105,66 @@ def changed(old: DataFrame, new: DataFrame, key: str, marks: Sequence[str]) -> D
     b = new.select(key, F.struct(*marks).alias("new"))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified").otherwise("same")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
+
+
+def interface_dispatch(implements: DataFrame, members: DataFrame) -> DataFrame:
+    """Interface members (``owner``, ``member``, ``arity``) to the members of classes that implement them (``klass``, ``interface``)."""
+    wanted = implements.join(members.toDF("interface", "member", "arity"), "interface")
+    return wanted.join(members.toDF("klass", "member", "arity"), ["klass", "member", "arity"]).select("interface", "klass", "member", "arity")
+
+
+def route_key(url: Column) -> Column:
+    """A URL or handler path reduced to what both sides share: lower case, no host, query, extension or trailing slash, numbers and ``{x}`` as one."""
+    out = F.regexp_replace(F.lower(url), r"^[a-z]+://[^/]*|[?#].*$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"/+$", ""), r"\.(?:aspx|ashx|asmx|svc)$", "")
+    return F.regexp_replace(out, r"/(?:\d+|\{[^}]*\})(?=/|$)", "/{}")
+
+
+def resolve_routes(calls: DataFrame, handlers: DataFrame) -> DataFrame:
+    """Client calls (``caller``, ``url``) to handlers (``handler``, ``route``)."""
+    return calls.withColumn("key", route_key(F.col("url"))).join(handlers.select("handler", route_key(F.col("route")).alias("key")), "key").select("caller", "url", "handler")
+
+
+def link_schema(uses: DataFrame, tables: DataFrame) -> DataFrame:
+    """Table names in SQL (``site``, ``table``) to catalogue tables (``node``, ``name``); a name of several tables is ambiguous."""
+    known = tables.groupBy(F.lower("name").alias("key")).agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    rows = uses.withColumn("key", F.lower(tx.last_segment(F.regexp_replace("table", r"[\[\]]", "")))).join(known, "key", "left")
+    return rows.select("site", "table", F.when(F.col("n") == 1, F.col("node")).alias("node"), F.when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "linked").otherwise("ambiguous").alias("status"))
+
+
+def resolve_imports(imports: DataFrame, exports: DataFrame, depth: int = 8) -> DataFrame:
+    """Imported names (``file``, ``module``, ``name``) to their definition, through re-exports.
+
+    ``exports`` has (``module``, ``name``, ``node``, ``from_module``): a definition has a node, a re-export the module it passes on.
+    """
+    left = imports.select("file", "module", "name", F.col("module").alias("at"))
+    found = None
+    for _ in range(depth):
+        step = left.join(exports.withColumnRenamed("module", "at"), ["at", "name"])
+        done = step.filter("node IS NOT NULL").select("file", "module", "name", "node")
+        found = done if found is None else found.unionByName(done)
+        left = step.filter("node IS NULL").select("file", "module", "name", F.col("from_module").alias("at")).distinct()
+        if left.isEmpty():
+            break
+    return found.distinct()
+
+
+def bind_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Arguments of calls (``call``, ``callee``, ``arguments``: name or null, and value) to parameters (``callee``, ``position``, ``parameter``)."""
+    args = calls.select("call", "callee", F.posexplode("arguments").alias("position", "argument"))
+    by_name = args.filter("argument.name IS NOT NULL").select("call", "callee", F.col("argument.name").alias("parameter"), F.col("argument.value").alias("value")).join(parameters.select("callee", "parameter"), ["callee", "parameter"])
+    by_place = args.filter("argument.name IS NULL").select("call", "callee", "position", F.col("argument.value").alias("value")).join(parameters, ["callee", "position"])
+    return by_name.select("call", "parameter", "value").unionByName(by_place.select("call", "parameter", "value"))
+
+
+def overlay(indexed: DataFrame, fresh: DataFrame, key: str, mark: str) -> DataFrame:
+    """Indexed rows, with fresh rows in place of those that are stale or not there."""
+    new = fresh.join(indexed.select(key, F.col(mark).alias("old_mark")), key, "left").filter(F.col("old_mark").isNull() | (F.col("old_mark") != F.col(mark))).drop("old_mark")
+    return indexed.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def common_prefix(rows: DataFrame, by: str, path: str) -> DataFrame:
+    """The longest common prefix of each group: that of its least and greatest member."""
+    agg = rows.groupBy(by).agg(F.min(path).alias("a"), F.max(path).alias("b"), F.count("*").alias("n"))
+    size = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length("a"), F.lit(1))), lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i)))
+    return agg.select(by, F.substring("a", F.lit(1), F.when(F.length("a") > 0, size).otherwise(0)).alias("prefix"), "n")

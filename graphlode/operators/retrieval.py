@@ -207,3 +207,18 @@ def rank_quality(results: DataFrame, relevant: DataFrame, query: str, item: str,
             F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
         )
     )
+
+
+def byte_page(rows: DataFrame, order: Sequence[str], text: str, budget: int, start: int = 0) -> DataFrame:
+    """Rows from ``start`` on that fit a budget of bytes, over a bounded list; ``next_start`` goes on."""
+    w = Window.orderBy(*order)
+    numbered = rows.withColumn("turn", F.row_number().over(w) - 1).filter(F.col("turn") >= start)
+    upto = F.sum(F.octet_length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = numbered.withColumn("upto", upto).filter((F.col("upto") <= budget) | (F.col("turn") == start))
+    return kept.withColumn("next_start", F.col("turn") + 1).drop("upto", "turn")
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """Runs of n tokens, joined by blanks."""
+    m = F.size(tokens)
+    return F.when(m >= n, F.transform(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
