@@ -15,7 +15,7 @@ def change_files(rows: DataFrame, change: str, file: str, most: int = LARGEST_CH
 
     One shuffle by change serves the distinct, the count and the self-join that follows.
     """
-    pairs = rows.select(F.col(change).alias("change"), F.col(file).alias("file")).distinct()
+    pairs = rows.select(F.col(change).alias("change"), F.col(file).alias("file")).repartition("change").distinct()
     n = F.count("*").over(Window.partitionBy("change"))
     return pairs.withColumn("n_files", n).filter(F.col("n_files") <= most).drop("n_files")
 

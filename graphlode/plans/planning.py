@@ -263,3 +263,69 @@ def node_inventory(spark, sf_dir):
 def cluster_fingerprints(spark, sf_dir):
     labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("label"))
     return graph.clusters(labels, 3, 1_000_000).withColumnRenamed("label", "cluster")
+
+
+@query(
+    """WITH l AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS turn FROM benchmark), s AS (SELECT *, sum(strlen(text)) OVER (ORDER BY item_id) AS upto FROM l WHERE turn >= 5)
+SELECT item_id, turn + 1 AS next_start FROM s WHERE upto <= 2000 OR turn = 5"""
+)
+def byte_budget_page(spark, sf_dir):
+    """A page of a report under a budget of bytes, with where to go on."""
+    from graphlode.operators import retrieval
+
+    out = retrieval.byte_page(table(spark, sf_dir, "benchmark"), ["item_id"], "text", 2000, start=5)
+    return out.select("item_id", F.col("next_start").cast("long").alias("next_start"))
+
+
+@query(
+    """WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), g AS (SELECT unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END) AS gram FROM t)
+SELECT gram, count(*) AS n FROM g GROUP BY 1"""
+)
+def ngram_counts(spark, sf_dir):
+    from graphlode.functions import text as tx
+    from graphlode.operators import retrieval
+
+    return table(spark, sf_dir, "benchmark").select(F.explode(retrieval.ngrams(tx.words(F.col("text")), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT page_id AS caller, regexp_replace(regexp_replace(lower(url), '^[a-z]+://[^/]*|[?#].*$', '', 'g'), '/+$', '') AS k FROM pages), d AS (SELECT caller, regexp_replace(k, '/[0-9]+$', '/{}') AS k FROM c),
+ h AS (SELECT 'handler_' || x AS handler, '/' || x || '/{}' AS k FROM (SELECT unnest(['en', 'fr', 'de']) AS x)) SELECT caller, handler FROM d JOIN h ON d.k = h.k"""
+)
+def route_resolution(spark, sf_dir):
+    from graphlode.operators import resolve
+
+    calls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("caller"), "url")
+    handlers = spark.createDataFrame([(f"handler_{x}", f"/{x}/{{id}}") for x in ("en", "fr", "de")], "handler string, route string")
+    return resolve.resolve_routes(calls, handlers).select("caller", "handler")
+
+
+@query(
+    """WITH l AS (SELECT vec_id AS node, label FROM embeddings WHERE vec_id < 300), t AS (SELECT DISTINCT label, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM l JOIN documents ON doc_id = node),
+ n AS (SELECT label, term, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT term, count(*) AS c FROM n GROUP BY 1), x AS (SELECT n.label, n.term, n.n, round(n.n * ln(1 + (SELECT count(DISTINCT label) FROM l)::DOUBLE / c), 6) AS score FROM n JOIN s ON s.term = n.term)
+SELECT label, score, turn FROM (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS turn FROM x) WHERE turn <= 3"""
+)
+def cluster_summaries(spark, sf_dir):
+    """The scores of the three terms that set each cluster apart."""
+    from pyspark.sql.window import Window
+
+    from graphlode.operators import extract
+
+    labels = table(spark, sf_dir, "embeddings").filter("vec_id < 300").select(F.col("vec_id").alias("node"), "label")
+    top = extract.cluster_terms(labels, table(spark, sf_dir, "documents"), "doc_id", "text", 3).withColumn("score", F.round("score", 6))
+    w = Window.partitionBy("label").orderBy(F.desc("score"), "term")
+    return top.select("label", "score", F.row_number().over(w).cast("long").alias("turn"))
+
+
+@query(
+    """WITH i AS (SELECT o_orderkey AS path, o_custkey AS mark FROM orders WHERE o_orderkey % 2 = 0), f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE o_custkey END AS mark FROM orders WHERE o_orderkey % 5 = 0)
+SELECT coalesce(f.path, i.path) AS path, coalesce(f.mark, i.mark) AS mark FROM i FULL JOIN f ON i.path = f.path"""
+)
+def working_overlay(spark, sf_dir):
+    """Indexed rows with fresh ones in place of the stale."""
+    from graphlode.operators import resolve
+
+    o = table(spark, sf_dir, "orders")
+    old = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("mark"))
+    new = o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 10 == 0, F.lit(-1).cast("long")).otherwise(F.col("o_custkey")).alias("mark"))
+    return resolve.overlay(old, new, "path", "mark")
