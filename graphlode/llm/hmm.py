@@ -30,6 +30,7 @@ scored, and each learned from.  With nothing to learn from, all counts are nough
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, bodies, shuffle_width, stash
-from .common import slices as parts_of
+from .common import bodies, doc_id, shuffle_width, slices, stash
 from .toxicity import fold
 
 SEGMENT = 64
@@ -53,75 +53,64 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word) % (CLASSES - 1) + 1 if word else 0
 
 
-class Numbers(dict):
-    """Numbers words in the order of their first use."""
+class Block(dict):
+    """Numbers of the words of a run of documents, in the order of their first use, with their classes and counts."""
 
     def __init__(self):
         super().__init__()
-        self.classes: list[int] = []
+        self.classes, self.counts, self.tokens = array("H"), np.zeros(0, np.int64), 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.classes)
         self.classes.append(word_class(word))
         return n
 
+    def encode(self, body: bytes, held_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and word classes of a document, the end token last."""
+        words = body.lower().split()
+        words.append(END)
+        ids = np.array([self[w] for w in words], dtype="<i4")
+        self.tokens += len(ids)
+        if not held_out:
+            if len(self) > len(self.counts):
+                self.counts = np.concatenate([self.counts, np.zeros(len(self), np.int64)])
+            np.add.at(self.counts, ids, 1)
+        return ids, np.frombuffer(self.classes, np.uint16)[ids].astype("<u2")
+
 
 def encode(docs: DataFrame, held_out, block_words: int, block_tokens: int) -> DataFrame:
     """Rows of two kinds: documents (``ids``, ``classes``) and words (``word``, ``id``, ``n``) of a block."""
     fields = "block long, k long, held_out boolean, ids binary, classes binary, word binary, id int, n long"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def of_documents(name, rows):
+        n, (k, out, ids, classes) = len(rows), zip(*rows)
+        columns = [pa.array(np.full(n, name)), pa.array(k, pa.int64()), pa.array(out, pa.bool_()), pa.array(ids, pa.binary()), pa.array(classes, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+
+    def of_words(name, block):
+        n = len(block)
+        counts = np.zeros(n, np.int64)
+        counts[: len(block.counts)] = block.counts[:n]
+        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), *columns, pa.array(list(block), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts)], names)
+        yield from slices([whole], 50_000)
 
     def run(batches):
-        part, sub = TaskContext.get().partitionId(), 0
-        numbers, counts, used = Numbers(), np.zeros(0, np.int64), 0
-
-        def count(ids):
-            nonlocal counts
-            own = np.bincount(ids, minlength=len(counts))
-            own[: len(counts)] += counts
-            counts = own
-
-        def block():
-            return part << 24 | sub
-
-        def of_words():
-            n = len(numbers)
-            full = np.zeros(n, np.int64)
-            full[: len(counts)] = counts
-            none = lambda t: pa.nulls(n, t)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block())), none(pa.int64()), none(pa.bool_()), none(pa.binary()), none(pa.binary()), pa.array(list(numbers), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(full)],
-                ["block", "k", "held_out", "ids", "classes", "word", "id", "n"],
-            )
-
-        for batch in parts_of(batches):
-            ks, outs, bodies_ = (batch.column(i).to_pylist() for i in range(3))
-            at = 0
-            while at < len(ks):
-                start, all_ids, all_classes = at, [], []
-                while at < len(ks) and len(numbers) < block_words and used < block_tokens:
-                    ids = np.array([numbers[w] for w in bodies_[at].lower().split()] + [numbers[END]], dtype="<i4")
-                    all_ids.append(ids)
-                    all_classes.append(np.array(numbers.classes, dtype="<u2")[ids] if len(numbers) < 2 * len(ids) else np.array([numbers.classes[i] for i in ids.tolist()], dtype="<u2"))
-                    used += len(ids)
-                    at += 1
-                train = [ids for ids, o in zip(all_ids, outs[start:at]) if not o]
-                if train:
-                    count(np.concatenate(train))
-                n = at - start
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block())), pa.array(ks[start:at], pa.int64()), pa.array(outs[start:at], pa.bool_()), pa.array([x.tobytes() for x in all_ids], pa.binary()), pa.array([x.tobytes() for x in all_classes], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-                    ["block", "k", "held_out", "ids", "classes", "word", "id", "n"],
-                )
-                if at < len(ks):
-                    for x in slices(of_words()):
-                        yield x
-                    numbers, counts, used, sub = Numbers(), np.zeros(0, np.int64), 0, sub + 1
-        if numbers:
-            yield from slices(of_words())
-
-    def slices(batch, most=50_000):
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
+        name, block = TaskContext.get().partitionId() << 24, Block()
+        for batch in slices(batches):
+            rows = []
+            for k, out, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids, classes = block.encode(body, out)
+                rows.append((k, out, ids.tobytes(), classes.tobytes()))
+                if len(block) >= block_words or block.tokens >= block_tokens:
+                    yield of_documents(name, rows)
+                    yield from of_words(name, block)
+                    name, block, rows = name + 1, Block(), []
+            if rows:
+                yield of_documents(name, rows)
+        if block:
+            yield from of_words(name, block)
 
     source = bodies(docs, held_out.alias("held_out")).select("k", "held_out", "body")
     return source.mapInArrow(run, fields)
@@ -378,4 +367,4 @@ def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds:
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(x, t) for x, t in ((n_all, pa.int64()), (n_known, pa.int64()), (base, pa.float64()), (score, pa.float64())))], ["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     scored = stream.mapInArrow(run, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(doc_id(), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
