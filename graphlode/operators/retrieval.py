@@ -27,11 +27,9 @@ def equals(word: str):
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], mode: str = "any", tokens=tx.words) -> DataFrame:
     """``key`` and ``score`` of the documents with any, or with all, of the query's terms."""
     terms = list(dict.fromkeys(terms))
-    scanned = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).select(
-        key,
-        F.size("tokens").alias("len"),
-        *(F.size(F.filter("tokens", equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)),
-    )
+    counts = F.struct(F.size("tokens").alias("len"), *(F.size(F.filter("tokens", equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)))
+    # As a generator's output, counts are made once a row; filters on them would otherwise tokenize again.
+    scanned = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).select(key, F.inline(F.array(counts)))
     stats = scanned.filter("len > 0").agg(
         F.count("*").alias("n"),
         F.avg(F.col("len").cast("double")).alias("mean_len"),
