@@ -119,14 +119,14 @@ def scan_one(w: list[bytes], index: Index, rare: int, share: float):
                 base.append((i - a, label))
     found: dict[str, float] = {}
     best = sorted((x for x in places if index.entries.get(x)), key=lambda x: (-index.idf[x], x))[:rare]
-    votes: dict[tuple[int, int], float] = defaultdict(float)
+    votes: Counter[tuple[int, int]] = Counter()
     for x in best:
         for t, i in index.entries[x]:
             for at in places[x]:
-                votes[t, at - i] += index.idf[x]
-    for (t, start), _ in votes.items():
+                votes[t, at - i] += 1
+    for (t, start), n in votes.items():
         label, body, keys_ = index.templates[t]
-        if found.get(label, 0.0) >= 1.0:
+        if n < min(2, len(index.useful[t])) or found.get(label, 0.0) >= 1.0:
             continue
         lo = max(0, start)
         near = w[lo : start + len(body) + 8]
