@@ -111,14 +111,17 @@ def simple_paths(edges: DataFrame, start, most: int, branch: int = 30) -> DataFr
     return every
 
 
-def spread(values: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Least value of each node over itself and its predecessors, to a fixed point."""
+def spread(values: DataFrame, arcs: DataFrame, hops: int = 3) -> DataFrame:
+    """Least value of each node over itself and its predecessors, to a fixed point; ``hops`` steps for each cut."""
     while True:
-        offers = arcs.join(values, arcs["src"] == values["node"]).select(F.col("dst").alias("node"), "value")
-        after = cut(values.unionByName(offers).groupBy("node").agg(F.min("value").alias("value")), "spread")
-        changed = after.join(values.withColumnRenamed("value", "old"), "node").filter("value < old").isEmpty()
+        after = values
+        for _ in range(hops):
+            offers = arcs.join(after, arcs["src"] == after["node"]).select(F.col("dst").alias("node"), "value")
+            after = after.unionByName(offers).groupBy("node").agg(F.min("value").alias("value"))
+        after = cut(after, "spread")
+        same = after.join(values.withColumnRenamed("value", "old"), "node").filter("value < old").isEmpty()
         values = after
-        if changed:
+        if same:
             return values
 
 
@@ -132,13 +135,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     done = cut(nodes_of(edges).select("node", F.col("node").alias("component")), "scc-alone")
     settled = None
     while True:
+        before = arcs.count()
         while True:  # trim
             inner = arcs.join(arcs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             inner = inner.join(arcs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            inner, before = cut(inner, "scc-trim"), arcs.count()
-            arcs = inner
-            if inner.count() == before:
+            arcs = cut(inner, "scc-trim")
+            now = arcs.count()
+            if now == before:
                 break
+            before = now
         if arcs.isEmpty():
             break
         colour = spread(nodes_of(arcs).withColumn("value", F.col("node")), arcs)
@@ -146,7 +151,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         inside = arcs.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
         back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-back")
         roots = c.filter("node = colour").select("node")
-        reach = cut(traverse(back, roots, 1 << 20).select("node"), "scc-reach")
+        marks = nodes_of(back).unionByName(roots).distinct().join(roots.withColumn("root", F.lit(0)), "node", "left").select("node", F.coalesce("root", F.lit(1)).alias("value"))
+        reach = cut(spread(cut(marks, "scc-marks"), back).filter("value = 0").select("node"), "scc-reach")
         part = reach.join(c, "node").select("node", F.col("colour").alias("component"))
         settled = cut(part if settled is None else settled.unionByName(part), "scc-done")
         gone = reach.select("node")
