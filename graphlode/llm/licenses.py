@@ -1,14 +1,12 @@
-"""License scan with a positional index of rare words.
-
-The templates are indexed once: for each licence word, its postings (template,
-position).  A first pass counts in how many documents each licence word occurs,
-which gives inverse document frequencies; the counts are as many as licence
-words.  A second pass looks up, for every document, its licence words of highest
-IDF, and the rarest word of every short phrase besides, so a phrase is never
-missed for want of rank.  Each place of such a word, less its position in a
-template, is a possible start of that template; starts on which enough words
-agree are candidates.  A candidate counts if its mandatory key phrases stand
-there, word for word, and enough of the template's IDF weight is in place.
+"""License scan by key phrases and rare words.
+
+A first pass counts in how many documents each licence word occurs, which gives
+inverse document frequencies; the counts are as many as licence words.  A second
+pass looks up, for every document, the rarest word of every short phrase and of
+every mandatory key phrase, and compares the phrases there, word for word.  Each
+start at which a template's key phrases lie within the template's reach is a
+candidate; it counts if enough of the template's IDF weight is in place.  Every
+template is judged for itself, at every such start, whatever else the text holds.
 
 A null or empty text has no words, no labels and score 0.  A text with several
 licences gets all labels.  Equal documents get equal rows.
@@ -17,7 +15,7 @@ licences gets all labels.  Equal documents get equal rows.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,16 +61,12 @@ def words(body: bytes) -> list[bytes]:
 
 
 class Index:
-    """Templates and base phrases with postings of their words."""
+    """Templates and base phrases, with the word by which each phrase is found."""
 
     def __init__(self):
         self.phrases = [(label, words(p.encode())) for p, label in PHRASES.items()]
         self.templates = [(label, words(t.encode()), [words(k.encode()) for k in keys]) for label, t, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, body, _) in enumerate(self.templates):
-            for i, w in enumerate(body):
-                self.postings[w].append((t, i))
-        self.vocabulary = frozenset(self.postings) | {w for _, p in self.phrases for w in p}
+        self.vocabulary = frozenset(w for _, body, keys in self.templates for w in body + sum(keys, [])) | {w for _, p in self.phrases for w in p}
 
     def weigh(self, holders: dict[bytes, int], n_docs: int):
         """Set the IDF weights, and what follows from them."""
@@ -80,10 +74,8 @@ class Index:
         rarest = lambda p: max(range(len(p)), key=lambda i: (self.idf[p[i]], p[i]))
         self.anchors = [(label, p, rarest(p)) for label, p in self.phrases]
         self.totals = [sum(self.idf[w] for w in body) for _, body, _ in self.templates]
-        # Words that stand in for a template: those above its mean weight, and its rarest.
-        self.useful = {t: {w for w in body if self.idf[w] * len(body) >= self.totals[t]} for t, (_, body, _) in enumerate(self.templates)}
-        self.entries = {w: [(t, i) for t, i in self.postings[w] if w in self.useful[t]] for w in self.postings}
-        self.keys = {p[a] for _, p, a in self.anchors} | {w for w, e in self.entries.items() if e}
+        self.key_anchors = [[(key, rarest(key)) for key in keys] for _, _, keys in self.templates]
+        self.keys = {p[a] for _, p, a in self.anchors} | {key[a] for keys in self.key_anchors for key, a in keys}
         return self
 
 
@@ -103,7 +95,7 @@ def holders(docs: DataFrame, vocabulary: frozenset) -> tuple[dict[bytes, int], i
     return got, got.pop(b"", 0)
 
 
-def scan_one(w: list[bytes], index: Index, rare: int, share: float):
+def scan_one(w: list[bytes], index: Index, share: float):
     """(places of base phrases as (start, label), {other label: share of its weight in place})."""
     places: dict[bytes, list[int]] = {}
     keys = index.keys
@@ -112,45 +104,38 @@ def scan_one(w: list[bytes], index: Index, rare: int, share: float):
     for i, x in enumerate(w):
         if x in keys:
             places.setdefault(x, []).append(i)
-    base = []
-    for label, p, a in index.anchors:
-        for i in places.get(p[a], ()):
-            if i >= a and w[i - a : i - a + len(p)] == p:
-                base.append((i - a, label))
+    base = [(i, label) for label, p, a in index.anchors for i in stands(w, p, a, places)]
     found: dict[str, float] = {}
-    best = sorted((x for x in places if index.entries.get(x)), key=lambda x: (-index.idf[x], x))[:rare]
-    votes: Counter[tuple[int, int]] = Counter()
-    for x in best:
-        for t, i in index.entries[x]:
-            for at in places[x]:
-                votes[t, at - i] += 1
-    for (t, start), n in votes.items():
-        label, body, keys_ = index.templates[t]
-        if n < min(2, len(index.useful[t])) or found.get(label, 0.0) >= 1.0:
-            continue
-        lo = max(0, start)
-        near = w[lo : start + len(body) + 8]
-        if not all(holds(near, key) for key in keys_):
-            continue
-        inside = sum(index.idf[x] for i, x in enumerate(body) if start + i >= 0 and word_at(w, start + i) == x) / index.totals[t]
-        if inside >= share:
-            found[label] = max(found.get(label, 0.0), inside)
+    for (label, body, _), total, anchored in zip(index.templates, index.totals, index.key_anchors):
+        for start in starts(w, len(body), anchored, places):
+            inside = sum(index.idf[x] for x, y in zip(body[max(0, -start) :], w[max(0, start) : start + len(body)]) if x == y) / total
+            if inside >= max(share, found.get(label, 0.0)):
+                found[label] = inside
+                if inside >= 1.0:
+                    break
     return base, found
 
 
-def word_at(w, i):
-    return w[i] if i < len(w) else None
+def stands(w: list[bytes], phrase: list[bytes], anchor: int, places: dict[bytes, list[int]]) -> list[int]:
+    """Where a phrase stands, from the places of one of its words."""
+    return [i - anchor for i in places.get(phrase[anchor], ()) if i >= anchor and w[i - anchor : i - anchor + len(phrase)] == phrase]
 
 
-def holds(w: list[bytes], phrase: list[bytes]) -> bool:
-    n = len(phrase)
-    return any(w[i] == phrase[0] and w[i : i + n] == phrase for i in range(len(w) - n + 1))
+def starts(w: list[bytes], length: int, anchored: list, places: dict[bytes, list[int]]) -> set[int]:
+    """Starts of a template from which all its key phrases lie in its words or the 8 behind them."""
+    out: set[int] | None = None
+    for key, a in anchored:
+        near = {s for at in stands(w, key, a, places) for s in range(at + len(key) - length - 8, at + 1)}
+        out = near if out is None else out & near
+        if not out:
+            break
+    return out or set()
 
 
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, rare: int = 12, share: float = 0.5, carry=("doc_id",)) -> DataFrame:
+def scan_licenses(docs: DataFrame, share: float = 0.5, carry=("doc_id",)) -> DataFrame:
     """``row``, ``k``, counts and places of base phrases, base labels, all labels and a score.
 
     The score is 1 if a base phrase stands in the text, else the largest share of a
@@ -163,11 +148,11 @@ def scan_licenses(docs: DataFrame, rare: int = 12, share: float = 0.5, carry=("d
         rows = []
         for body in texts:
             w = words(body)
-            base, found = scan_one(w, index, rare, share)
-            starts = [s for s, _ in base]
+            base, found = scan_one(w, index, share)
+            at = [s for s, _ in base]
             labels = {x for _, x in base}
             score = 1.0 if base else min(1.0, max(found.values(), default=0.0))
-            rows.append((len(w), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), score))
+            rows.append((len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), score))
         return list(zip(*rows)) if rows else [[]] * 7
 
     return annotate(docs, scan, FIELDS, carry)
