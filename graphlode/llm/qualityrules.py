@@ -10,7 +10,9 @@ depend on the order of rows, and a quantile read from one is within
 rejected if a fixed base rule fails or a measure lies beyond its fence.
 
 A fence never comes closer to the median than the slack in ``RULES``, so a group
-of few or near-equal documents does not lose clean ones.  Null ``lang`` and
+of few or near-equal documents does not lose clean ones.  For the repeats' fence a
+document's first ``SPARED_WORDS`` repeated words are free: one passage said twice is
+much of a short text and little of a long one.  Null ``lang`` and
 ``source`` are groups of their own.  Null and empty texts have no words and fail
 the base rule.
 """
@@ -30,10 +32,12 @@ GAMMA = 1.02
 #: Measure (per thousand words, or per thousand): least distance of its upper and lower fence from the median.
 RULES = {
     "symbol_rate": (150.0, None),
-    "repeat_rate": (500.0, None),
+    "repeat_rate": (150.0, None),
     "dup_line_rate": (450.0, None),
     "mean_word": (3000.0, 2500.0),
 }
+#: Repeated words that the repeats' fence does not count: a passage of 20 words, said twice.
+SPARED_WORDS = 40
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = b"#*$%&|<>"
 
@@ -113,8 +117,9 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     broadcasts them if that allows, else it splits a hot source.
     """
     within = ~F.col("base_failed")
+    spared = F.when(F.col("n_words") > 0, 1000.0 * F.greatest(F.col("n_repeat_words") - SPARED_WORDS, F.lit(0)) / F.col("n_words")).otherwise(0.0)
     for m in RULES:
-        within = within & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        within = within & (spared if m == "repeat_rate" else F.col(m)).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
     same = F.col("row.lang").eqNullSafe(F.col("lang_")) & F.col("row.source").eqNullSafe(F.col("source_"))
     return measured.join(limits, same, "left").withColumn("kept", within)
 
