@@ -12,11 +12,11 @@ the corpus are sums over blocks, shuffled by word; each block gets the counts of
 its own words back, so no task holds the vocabulary of the corpus and nothing is
 broadcast but the states' tables, whose size is fixed.
 
-Latent states are learned by Baum-Welch: each partition gives expected counts of
-all its training tokens, an aggregation adds them up, and the driver sees one
-table of fixed size per round.  A bounded sample (``warm_docs``) gives the
-starting point.  Sums are kept as whole numbers of 2^-20, so they do not depend on
-their order.
+Latent states are learned by Baum-Welch, every round over all training documents,
+until a round gains less than ``settled`` of the log likelihood (``rounds`` at
+most).  Each partition gives expected counts of all its training tokens, an
+aggregation adds them up, and the driver sees one table of fixed size per round.
+Sums are kept as whole numbers of 2^-20, so they do not depend on their order.
 
 The recursions run on segments of 64 tokens at once: a segment's transfer matrix
 is the product of its steps, a short sweep over a document's segments gives the
@@ -260,33 +260,33 @@ def in_chunks(docs, tokens: int = 60_000):
         yield part
 
 
-def baum_welch(encoded: DataFrame, model: Model, frequency: np.ndarray) -> Model:
-    """One round over all training documents."""
+def baum_welch(encoded: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
+    """One round over all training documents: the next model, and the log likelihood of the one given."""
     spark = encoded.sparkSession
     held = spark.sparkContext.broadcast(model)
     k, g = len(model.start), model.emit.shape[1]
 
     def run(batches):
         m = held.value
-        total = np.zeros(k + k * k + k * g)
+        total = np.zeros(k + k * k + k * g + 1)
         for batch in batches:
             docs = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column(0).to_pylist()]
             for part in in_chunks(docs):
-                starts, moves, emits, _ = m.expect(part)
-                total += np.concatenate([starts, moves.reshape(-1), emits.reshape(-1)])
+                starts, moves, emits, log = m.expect(part)
+                total += np.concatenate([starts, moves.reshape(-1), emits.reshape(-1), [log]])
         whole = np.rint(total * UNIT).astype(np.int64)
         at = np.flatnonzero(whole)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(whole[at])], ["at", "n"])
 
     train = encoded.filter("ids IS NOT NULL AND NOT held_out").select("classes")
     rows = train.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
-    total = np.zeros(k + k * k + k * g)
+    total = np.zeros(k + k * k + k * g + 1)
     for r in rows:
         total[r.at] = float(r.n) / UNIT
-    return Model.of_counts(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(k, g), frequency)
+    return Model.of_counts(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(k, g), frequency), float(total[-1])
 
 
-def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds: int = 2, warm_docs: int = 400, warm_rounds: int = 12, block_words: int = 400_000, block_tokens: int = 4_000_000) -> DataFrame:
+def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds: int = 40, settled: float = 5e-4, block_words: int = 400_000, block_tokens: int = 4_000_000) -> DataFrame:
     """Per document its tokens, how many are known, and its log10 probability by unigrams and by the model."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -308,18 +308,12 @@ def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds:
     n_tokens, n_words = int(of_class.sum()), int(in_class.sum())
 
     frequency = (of_class + 0.5) / (of_class + 0.5).sum()
-    train = encoded.filter("ids IS NOT NULL AND NOT held_out").select("k", "classes")
-    picked = train.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(warm_docs)  # keys only: tasks send few bytes
-    warm = train.join(F.broadcast(picked), "k").orderBy("k", "classes")
-    model, sample = Model.draw(frequency), [np.frombuffer(bytes(r.classes), "<u2").astype(np.int32) for r in warm.collect()]
-    for _ in range(warm_rounds if sample else 0):
-        total = None
-        for part in in_chunks(sample):
-            got = model.expect(part)
-            total = got if total is None else tuple(a + b for a, b in zip(total, got))
-        model = Model.of_counts(*total[:3], frequency)
+    model, before = Model.draw(frequency), -np.inf
     for _ in range(rounds if n_tokens else 0):
-        model = baum_welch(encoded, model, frequency)
+        model, log = baum_welch(encoded, model, frequency)
+        if log - before < settled * abs(log):
+            break
+        before = log
 
     held = spark.sparkContext.broadcast((model, np.log10(of_class + in_class + 1)))
     share = np.log10(n_tokens + n_words + 1)
