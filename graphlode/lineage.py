@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,18 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the folder that all executors share and go on from the written table.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder that was set.
 
-    The folder is the session's ``spark.checkpoint.dir``; a session without one gets its own.
+    Only a session whose driver is its only process may do without: it gets a folder of its own.
     """
-    spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="graphlode-")
-        spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/graphlode/{name}-{uuid.uuid4().hex}"
+        if held.isDefined():
+            where = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            where = "file://" + tempfile.mkdtemp(prefix="graphlode-")
+            spark.sparkContext.setCheckpointDir(where)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the folder that all executors share and go on from the written table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphlode/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
