@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages before
 the last return the columns of ``docs``.  Each is written as Parquet and read
 again as the documents of the next.
+
+Rows that share a ``doc_id`` are one document to every stage: they stay or go
+together, so equal rows of one id are all packed.  Null texts fail the quality
+rules; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two benchmark items or more go."""
+    """Documents that hold a passage of any benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark, carry=docs.columns).filter("NOT contaminated").select("row.*")
+    return decontaminate.decontaminate(docs, benchmark, most_items=0, carry=docs.columns).filter("NOT contaminated").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
