@@ -16,13 +16,14 @@ docstring says otherwise:
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
+
 NO_ID = -(1 << 63)
 KIB, MIB = 1 << 10, 1 << 20
 
@@ -41,30 +42,17 @@ def doc_id(k: str = "k"):
     return F.when(F.col(k) != NO_ID, F.col(k)).alias("doc_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one (tests) gets its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            where = held.get()
-        else:
-            where = "file://" + tempfile.mkdtemp(prefix="graphlode-shared-")
-            spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and return the written table.
 
     The table survives the loss of any executor.  It is removed when the driver ends.
-    ``few`` is for tables that are small beside the shuffle that makes them: a task
-    writes several of its partitions, so there are fewer files.
+    ``few`` is for tables that are small beside the shuffle that makes them: they are
+    dealt anew by their measured size, so there are as many files as they need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphlode/{name}-{uuid.uuid4().hex}"
     if few:
-        df = df.coalesce(max(24, shuffle_width(spark) // 8))
+        df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

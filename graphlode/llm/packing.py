@@ -33,8 +33,10 @@ def byte_bpe(vocabulary: str, ranks: str):
     """A function from text to ids, as ``tokenizers`` gives them for ``vocabulary``.
 
     ``ranks`` holds the same vocabulary for tiktoken, which is four times as fast.
-    It is used where the two cannot differ, on Latin-1 texts; for all others their
-    Unicode tables might, so those go through ``tokenizers`` itself.
+    It is used where the two cannot differ, on Latin-1 texts that spell out none of
+    the vocabulary's added tokens; for all others their Unicode tables might, so
+    those go through ``tokenizers`` itself, which turns an added token's text into
+    its id.
     """
 
     def make():
@@ -45,7 +47,7 @@ def byte_bpe(vocabulary: str, ranks: str):
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        full.encode_special_tokens = True
+        added = [t.content for t in full.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -55,6 +57,8 @@ def byte_bpe(vocabulary: str, ranks: str):
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return full.encode(text, add_special_tokens=False).ids
+            if any(t in text for t in added):
+                return full.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         return encode
@@ -78,7 +82,7 @@ def pack(
             for body in batch.column(1).to_pylist():
                 ids = ids_of(body.decode("utf-8", "replace"))
                 ids.append(end_id)
-                out.append(np.array(ids, dtype="<u2").tobytes())
+                out.append(np.array(ids, dtype="<u4").tobytes())
                 places.append(place)
                 counts.append(len(ids))
                 place += len(ids)
@@ -104,7 +108,7 @@ def pack(
             rows = []
             for part, place, k, body, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 at = bases[part] + place
-                ids = np.frombuffer(body, dtype="<u2").astype("<u4")
+                ids = np.frombuffer(body, dtype="<u4")
                 n, start = len(ids), 0
                 while start < n:
                     length = min(n - start, window - (at + start) % window)

@@ -71,6 +71,7 @@ class FactorizationMachine:
         """
         n = len(docs)
         if not n:
+            self.factors[:] = 0
             return self
         share = float(np.clip(y.mean(), 0.01, 0.99))
         self.bias = float(np.log(share / (1 - share)))

@@ -170,7 +170,6 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     ids = {}
     for k, t in rows:
         ids.setdefault(k, []).append(np.array(full.encode(t or "", add_special_tokens=False).ids + [0], "<u4"))
@@ -190,8 +189,10 @@ def test_fast_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     encode = packing.byte_bpe("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|>漢", "<|endoftext", "<|endoftext|><|endoftext|>\n"):
+        assert encode(text) == full.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
     rng = np.random.default_rng(1)
     for _ in range(300):
         text = "".join(map(chr, rng.integers(0, 256, 60)))
@@ -252,7 +253,7 @@ def test_classifiers_take_awkward_rows(docs, rows, spark):
         for table in (labels, none):
             got = [r.score for r in score(docs, table).collect()]
             assert len(got) == len(rows) and all(0 <= x <= 1 for x in got)
-        assert set(round(x, 9) for x in got) and (score is mil.score_quality or set(got) == {0.5} or True)
+        assert set(got) == {0.5}  # the last labels were none
 
 
 def test_empty_tables(spark):
