@@ -1,27 +1,33 @@
 """A hidden Markov language model.
 
-Each word has a class, by hash; a latent state emits classes, and a class emits
-its words by their smoothed counts in the training documents.  So
+A latent state emits classes of words: each of the ``OWN`` most frequent words is a
+class of its own, so states emit those words themselves, and all other words share
+``SHARED`` classes by hash, where a word has its smoothed share of the training
+counts.  So
 
     P(text) = sum over state paths of prod P(state | previous) P(class | state) P(word | class).
 
 Work is laid out in blocks, runs of documents of one scan partition with a bounded
-vocabulary.  A block numbers its words, writes its documents as word numbers and
-word classes, and one row for each of its distinct words.  Counts of words over
-the corpus are sums over blocks, shuffled by word; each block gets the counts of
-its own words back, so no task holds the vocabulary of the corpus and nothing is
-broadcast but the states' tables, whose size is fixed.
-
-Latent states are learned by Baum-Welch, every round over all training documents,
-until a round gains less than ``settled`` of the log likelihood (``rounds`` at
-most).  Each partition gives expected counts of all its training tokens, an
-aggregation adds them up, and the driver sees one table of fixed size per round.
-Sums are kept as whole numbers of 2^-20, so they do not depend on their order.
-
-The recursions run on segments of 64 tokens at once: a segment's transfer matrix
+vocabulary.  A block numbers its words and writes its documents as word numbers and
+one row for each of its distinct words.  Frequent words are counted by a partial
+aggregation and handed to every task (``OWN`` of them, whatever the corpus); the
+others are shuffled by word, one row for each block that holds it, and each block
+gets the counts of its own words back.  No task holds the vocabulary of the corpus,
+and what is broadcast has a fixed size.
+
+Latent states are learned by Baum-Welch.  Each partition gives expected counts of
+its training tokens, an aggregation adds them up, and the driver sees one table of
+fixed size per round.  The first ``warm_rounds`` rounds each take another share
+(a sixteenth, by a hash of the text, so it grows with the input) of the training
+documents; from then on every round covers all of them, until a round gains less
+than ``settled`` of the log likelihood, ``rounds`` at most.  Sums are kept as whole
+numbers of 2^-20, so they do not depend on their order.
+
+The recursions run on segments of 128 tokens at once: a segment's transfer matrix
 is the product of its steps, a short sweep over a document's segments gives the
 exact messages at their borders, and the inner steps follow for all segments
-together.  Values are scaled at each segment, so long texts do not underflow.
+together.  Values are scaled, so long texts do not underflow.  Training works in
+single precision, scores in double.
 
 Null and empty texts are the end token alone.  Rows with one ``doc_id`` are each
 scored, and each learned from.  With nothing to learn from, all counts are nought.
@@ -29,8 +35,6 @@ scored, and each learned from.  With nothing to learn from, all counts are nough
 
 from __future__ import annotations
 
-import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,58 +46,57 @@ from pyspark.sql.window import Window
 from .common import bodies, doc_id, shuffle_width, slices, stash
 from .toxicity import fold
 
-SEGMENT = 64
-CLASSES = 1024
+SEGMENT = 128
+OWN = 4096
+SHARED = 1024
+CLASSES = 1 + OWN + SHARED  # the end token, frequent words, hash classes
 STATES = 6
 UNIT = float(1 << 20)
+SHARES = 16
 END = b""  # no word is empty
 
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word) % (CLASSES - 1) + 1 if word else 0
-
-
 class Block(dict):
-    """Numbers of the words of a run of documents, in the order of their first use, with their classes and counts."""
+    """Numbers of the words of a run of documents, in the order of their first use, with their training counts."""
 
     def __init__(self):
         super().__init__()
-        self.classes, self.counts, self.tokens = array("H"), np.zeros(0, np.int64), 0
+        self.counts, self.tokens = np.zeros(0, np.int64), 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.classes)
-        self.classes.append(word_class(word))
+        self[word] = n = len(self)
         return n
 
-    def encode(self, body: bytes, held_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers and word classes of a document, the end token last."""
+    def encode(self, body: bytes, held_out: bool) -> np.ndarray:
+        """Word numbers of a document, the end token last."""
         words = body.lower().split()
         words.append(END)
-        ids = np.array([self[w] for w in words], dtype="<i4")
+        ids = np.fromiter(map(self.__getitem__, words), "<i4", len(words))
         self.tokens += len(ids)
         if not held_out:
             if len(self) > len(self.counts):
                 self.counts = np.concatenate([self.counts, np.zeros(len(self), np.int64)])
             np.add.at(self.counts, ids, 1)
-        return ids, np.frombuffer(self.classes, np.uint16)[ids].astype("<u2")
+        return ids
 
 
 def encode(docs: DataFrame, held_out, block_words: int, block_tokens: int) -> DataFrame:
-    """Rows of two kinds: documents (``ids``, ``classes``) and words (``word``, ``id``, ``n``) of a block."""
-    fields = "block long, k long, held_out boolean, ids binary, classes binary, word binary, id int, n long"
+    """Rows of two kinds: documents (``ids``) and words (``word``, ``id``, ``n``, and whether it is ``often`` in its block)."""
+    fields = "block long, k long, held_out boolean, ids binary, word binary, id int, n long, often boolean"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def of_documents(name, rows):
-        n, (k, out, ids, classes) = len(rows), zip(*rows)
-        columns = [pa.array(np.full(n, name)), pa.array(k, pa.int64()), pa.array(out, pa.bool_()), pa.array(ids, pa.binary()), pa.array(classes, pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+        n, (k, out, ids) = len(rows), zip(*rows)
+        columns = [pa.array(np.full(n, name)), pa.array(k, pa.int64()), pa.array(out, pa.bool_()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names)
 
     def of_words(name, block):
         n = len(block)
         counts = np.zeros(n, np.int64)
-        counts[: len(block.counts)] = block.counts[:n]
-        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-        whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), *columns, pa.array(list(block), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts)], names)
+        counts[: min(n, len(block.counts))] = block.counts[:n]
+        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
+        often = pa.array(counts * 12 * OWN >= counts.sum()) if counts.any() else pa.nulls(n, pa.bool_())
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), *columns, pa.array(list(block), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts), often], names)
         yield from slices([whole], 50_000)
 
     def run(batches):
@@ -101,8 +104,7 @@ def encode(docs: DataFrame, held_out, block_words: int, block_tokens: int) -> Da
         for batch in slices(batches):
             rows = []
             for k, out, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids, classes = block.encode(body, out)
-                rows.append((k, out, ids.tobytes(), classes.tobytes()))
+                rows.append((k, out, block.encode(body, out).tobytes()))
                 if len(block) >= block_words or block.tokens >= block_tokens:
                     yield of_documents(name, rows)
                     yield from of_words(name, block)
@@ -116,8 +118,115 @@ def encode(docs: DataFrame, held_out, block_words: int, block_tokens: int) -> Da
     return source.mapInArrow(run, fields)
 
 
+def count_words(encoded: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Counts over the corpus, sent back to each block for its own words (``block``, ``id``, ``c``, ``class``), with
+    the training tokens and the distinct training words of each class.
+    """
+    spark = encoded.sparkSession
+    words = encoded.filter("word IS NOT NULL")
+    # Candidates are words often in some block, at most 12 * OWN in each.
+    often = words.filter("often AND length(word) > 0").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN)
+    top = [(END, 0)] + [(bytes(r.word), i) for i, r in enumerate(often.collect(), 1)]
+    marked = words.select("block", "id", "word", "n").join(F.broadcast(spark.createDataFrame(top, "word binary, class int")), "word", "left")
+    frequent = marked.filter("class IS NOT NULL")
+    sums = frequent.groupBy("class").agg(F.sum("n").alias("c")).collect()
+    own = frequent.join(F.broadcast(spark.createDataFrame([(r["class"], r.c) for r in sums], "class int, c long")), "class").select("block", "id", "c", "class", F.lit(False).alias("once"))
+
+    of_word = Window.partitionBy("word")
+    shared = F.crc32("word") % SHARED + (OWN + 1)
+    others = (
+        marked.filter("class IS NULL")
+        .withColumns({"c": F.sum("n").over(of_word), "turn": F.row_number().over(of_word.orderBy("block"))})
+        .select("block", "id", "c", shared.cast("int").alias("class"), (F.col("turn") == 1).alias("once"))
+    )
+    counted = stash(own.unionByName(others).filter("c > 0"), "lm-counts")
+    distinct, tokens = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sums:
+        distinct[r["class"]], tokens[r["class"]] = r.c > 0, r.c
+    for r in counted.filter("once").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
+        distinct[r["class"]], tokens[r["class"]] = r.v, r.n
+    return counted, tokens, distinct
+
+
+def resolve(encoded: DataFrame, counted: DataFrame, tokens: np.ndarray, distinct: np.ndarray) -> DataFrame:
+    """Per document its counts, its unigram score, log10 of P(word | class) in all (``inner``), and its classes."""
+    spark = encoded.sparkSession
+    share = np.log10(int(tokens.sum()) + int(distinct.sum()) + 1)
+    held = spark.sparkContext.broadcast(np.log10(tokens[OWN + 1 :] + distinct[OWN + 1 :] + 1))
+    none = lambda **c: [F.lit(None).cast(t).alias(x) for x, t in c.items()]
+    unknown = encoded.filter("word IS NOT NULL AND n = 0").select("block", *none(k="long", held_out="boolean", ids="binary"), "id", F.lit(0).cast("long").alias("c"), (F.crc32("word") % SHARED + (OWN + 1)).cast("int").alias("class"))
+    stream = (
+        unknown.unionByName(counted.select("block", *none(k="long", held_out="boolean", ids="binary"), "id", "c", "class"))
+        .unionByName(encoded.filter("ids IS NOT NULL").select("block", "k", "held_out", "ids", *none(id="int", c="long", **{"class": "int"})))
+        .repartition(shuffle_width(spark), "block")
+        .sortWithinPartitions("block", F.col("k").isNotNull())
+    )
+
+    def grown(x, n):
+        out = np.zeros(max(n, 2 * len(x)), x.dtype)
+        out[: len(x)] = x
+        return out
+
+    def run(batches):
+        of = held.value
+        block, counts, classes = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for batch in batches:
+            of_block = batch.column(0).to_numpy()
+            is_doc = np.asarray(batch.column(1).is_valid())
+            edges = np.flatnonzero((of_block[1:] != of_block[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(of_block)]):
+                if lo == hi:
+                    continue
+                if of_block[lo] != block:
+                    block, counts, classes = of_block[lo], np.zeros(0, np.int64), np.zeros(0, np.int32)
+                part = batch.slice(lo, hi - lo)
+                if not is_doc[lo]:
+                    ids, c, cls = (part.column(i).to_numpy() for i in (4, 5, 6))
+                    if ids.max() >= len(counts):
+                        counts, classes = grown(counts, int(ids.max()) + 1), grown(classes, int(ids.max()) + 1)
+                    # A word is unknown to its block or to the corpus: what is known wins, whichever row comes first.
+                    counts[ids] = np.maximum(counts[ids], c)
+                    classes[ids] = np.where((c > 0) | (counts[ids] == 0), cls, classes[ids])
+                    continue
+                rows = []
+                for x in part.column(3).to_pylist():
+                    ids = np.frombuffer(x, "<i4")
+                    c, cls = counts[ids], classes[ids]
+                    log = np.log10(c + 1)
+                    in_class = np.where(cls > OWN, log - of[np.maximum(cls - OWN - 1, 0)], 0.0).sum()
+                    rows.append((len(ids), int((c > 0).sum()), float(log.sum() - len(ids) * share), float(in_class), cls.astype("<u2").tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["k", "held_out", "n_tokens", "n_known", "base_score", "inner", "classes"])
+
+    return stream.mapInArrow(run, "k long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary")
+
+
+class Lanes:
+    """Segments of documents side by side, the longest first, so that those still running at a step are the first ones."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        lengths = np.array([len(d) for d in docs])
+        self.pieces = -(-lengths // SEGMENT)
+        first = np.cumsum(self.pieces) - self.pieces
+        sizes = np.full(int(self.pieces.sum()), SEGMENT)
+        sizes[first + self.pieces - 1] = lengths - (self.pieces - 1) * SEGMENT
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        grid = np.zeros((len(sizes), SEGMENT), np.int32)
+        grid[np.arange(SEGMENT) < sizes[:, None]] = np.concatenate(docs)
+        self.steps = int(sizes.max())
+        self.grid = np.ascontiguousarray(grid[order].T[: self.steps])
+        self.live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(self.steps), side="right")
+        self.heads = np.sort(place[first])
+        self.levels = [(on, place[first[on] + j]) for j in range(self.pieces.max()) for on in [np.flatnonzero(self.pieces > j)]]
+
+
 class Model:
-    """Start, transition and emission probabilities, with the recursions over many documents at once."""
+    """Start, transition and emission probabilities, with the recursions over many documents at once.
+
+    Arrays have states first and segments last.
+    """
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -136,118 +245,98 @@ class Model:
         emit = emit + 10.0 * frequency[None, :] + 1e-6
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def lay_out(self, docs: list[np.ndarray]):
-        """Tokens as (step, segment), padded with -1; each segment's document and number in it."""
-        pieces = np.array([-(-len(d) // SEGMENT) for d in docs])
-        doc = np.repeat(np.arange(len(docs)), pieces)
-        first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
-        grid = np.full((len(doc), SEGMENT), -1, np.int32)
-        for d, f, x in zip(range(len(docs)), first, docs):
-            grid[f : f + pieces[d]].reshape(-1)[: len(x)] = x
-        return np.ascontiguousarray(grid.T), doc, first, pieces
-
-    def transfers(self, grid: np.ndarray, heads: np.ndarray):
+    def relative(self, lanes: Lanes, kind):
+        """Emissions at each step as shares of the likeliest state's."""
+        rel = (self.emit / self.emit.max(0)).astype(kind)
+        return np.ascontiguousarray(rel[:, lanes.grid].transpose(1, 0, 2))
+
+    def transfers(self, lanes: Lanes, emitted: np.ndarray):
         """For each segment the scaled product of its steps, and the log of its scale.
 
         A step moves and then emits; the first step of a document only emits.
         """
-        k, n = len(self.start), grid.shape[1]
-        emit = np.vstack([self.emit.T, np.ones(k)])  # the last row serves padding
-        m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-        scale = np.zeros(n)
-        for t in range(SEGMENT):
-            g = grid[t]
-            on = g >= 0
-            if not on.any():
-                break
-            moved = (m.reshape(n * k, k) @ self.move).reshape(n, k, k)
-            if t == 0:
-                moved[heads] = m[heads]
-            moved *= emit[g][:, None, :]
-            if on.all():
-                m = moved
-            else:
-                m = np.where(on[:, None, None], moved, m)
-            if t % 16 == 15 or t == SEGMENT - 1:
-                s = m.max((1, 2))
-                m /= s[:, None, None]
-                scale += np.log(s)
+        kind = emitted.dtype
+        m = self.move.astype(kind)[:, :, None] * emitted[0][None]
+        m[:, :, lanes.heads] = np.eye(len(self.start), dtype=kind)[:, :, None] * emitted[0][None][:, :, lanes.heads]
+        turned = np.ascontiguousarray(self.move.T.astype(kind))
+        scale = np.zeros(m.shape[2])
+        for t in range(1, lanes.steps):
+            n = lanes.live[t]
+            m[:, :, :n] = np.matmul(turned, m[:, :, :n]) * emitted[t][None, :, :n]
+            if t % 8 == 7:
+                s = m[:, :, :n].max((0, 1))
+                m[:, :, :n] /= s
+                scale[:n] += np.log(s)
         return m, scale
 
-    def borders(self, m: np.ndarray, scale: np.ndarray, first: np.ndarray, pieces: np.ndarray, back: bool):
-        """Messages into each segment (and from behind it), scaled to sum 1, and each document's log likelihood."""
-        k = len(self.start)
-        into, behind = np.zeros((len(m), k)), np.zeros((len(m), k))
-        now, log = np.broadcast_to(self.start, (len(first), k)).copy(), np.zeros(len(first))
-        for j in range(pieces.max(initial=0)):
-            on = np.flatnonzero(pieces > j)
-            s = first[on] + j
-            into[s] = now[on]
-            after = np.einsum("nk,nkl->nl", now[on], m[s])
-            total = after.sum(1)
-            now[on] = after / total[:, None]
+    def borders(self, lanes: Lanes, m: np.ndarray, scale: np.ndarray, back: bool):
+        """Messages into each segment (and from behind it), and each document's log likelihood but for its peaks."""
+        k, n = len(self.start), m.shape[2]
+        into, behind = np.zeros((k, n)), np.ones((k, n))
+        now, log = np.repeat(self.start[:, None], len(lanes.pieces), 1), np.zeros(len(lanes.pieces))
+        for on, s in lanes.levels:
+            into[:, s] = now[:, on]
+            after = np.einsum("kn,kln->ln", now[:, on], m[:, :, s])
+            total = after.sum(0)
+            now[:, on] = after / total
             log[on] += np.log(total) + scale[s]
         if back:
-            now = np.ones((len(first), k)) / k
-            for j in range(pieces.max(initial=0) - 1, -1, -1):
-                on = np.flatnonzero(pieces > j)
-                s = first[on] + j
-                behind[s] = now[on]
-                before = np.einsum("nkl,nl->nk", m[s], now[on])
-                now[on] = before / before.sum(1, keepdims=True)
+            now = np.ones((k, len(lanes.pieces)))
+            for on, s in reversed(lanes.levels):
+                behind[:, s] = now[:, on]
+                before = np.einsum("kln,ln->kn", m[:, :, s], now[:, on])
+                now[:, on] = before / before.sum(0)
         return into, behind, log
 
+    def peaks(self, docs: list[np.ndarray]) -> np.ndarray:
+        log = np.log(self.emit.max(0))
+        return np.array([log[d].sum() for d in docs])
+
     def log_likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
-        grid, _, first, pieces = self.lay_out(docs)
-        m, scale = self.transfers(grid, first)
-        return self.borders(m, scale, first, pieces, False)[2]
-
-    def expect(self, docs: list[np.ndarray]):
-        """Expected counts of starts, moves and emissions (exact for whole documents)."""
-        k = len(self.start)
-        grid, _, first, pieces = self.lay_out(docs)
-        m, scale = self.transfers(grid, first)
-        into, behind, log = self.borders(m, scale, first, pieces, True)
-        emit = np.vstack([self.emit.T, np.ones(k)])
-        n = grid.shape[1]
-        steps = int((grid >= 0).any(1).sum())
-        alphas, predicted = np.zeros((steps, n, k)), np.zeros((steps, n, k))
-        now, head = into, np.zeros(n, bool)
-        head[first] = True
+        lanes = Lanes(docs)
+        m, scale = self.transfers(lanes, self.relative(lanes, np.float64))
+        return self.borders(lanes, m, scale, False)[2] + self.peaks(docs)
+
+    def expect(self, docs: list[np.ndarray], kind=np.float64):
+        """Expected counts of starts, moves and emissions (exact for whole documents), and the log likelihood."""
+        lanes = Lanes(docs)
+        emitted = self.relative(lanes, kind)
+        m, scale = self.transfers(lanes, emitted)
+        into, behind, log = self.borders(lanes, m, scale, True)
+        into, behind, move = into.astype(kind), behind.astype(kind), self.move.astype(kind)
+        turned = np.ascontiguousarray(move.T)
+        steps, (k, n) = lanes.steps, into.shape
+        # Forward, scaled to sum 1 at each step.
+        alpha, total = np.zeros((steps, k, n), kind), np.ones((steps, n), kind)
+        came = turned @ into
+        came[:, lanes.heads] = into[:, lanes.heads]
         for t in range(steps):
-            on = grid[t] >= 0
-            p = now @ self.move
-            if t == 0:
-                p = np.where(head[:, None], now, p)
-            a = p * emit[grid[t]]
-            a = np.where(on[:, None], a / a.sum(1, keepdims=True), now)
-            alphas[t], predicted[t], now = a, p, a
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.emit.shape[1]))
-        beta = behind
+            a = lanes.live[t]
+            raw = (turned @ alpha[t - 1][:, :a] if t else came) * emitted[t][:, :a]
+            total[t, :a] = raw.sum(0)
+            np.divide(raw, total[t, :a], out=alpha[t][:, :a])
+        # Backward with the same scales, from messages that make each segment's posterior sum to 1.
+        last = np.empty((k, n), kind)
+        for t in range(steps):
+            done = lanes.live[t + 1] if t + 1 < steps else 0
+            last[:, done : lanes.live[t]] = alpha[t][:, done : lanes.live[t]]
+        beta = behind / (behind * last).sum(0)
+        gamma, ahead = np.zeros((steps, k, n), kind), np.zeros((steps, k, n), kind)
         for t in range(steps - 1, -1, -1):
-            on = grid[t] >= 0
-            gamma = alphas[t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            g, cls = gamma[on], grid[t][on]
-            for i in range(k):
-                emits[i] += np.bincount(cls, g[:, i], self.emit.shape[1])
-            ahead = emit[grid[t]] * beta  # what the state at t explains from t on
-            before = alphas[t - 1] if t else into
-            if t == 0:
-                starts += gamma[head].sum(0)
-                pairs = on & ~head
-            else:
-                pairs = on
-            x, y = before[pairs], ahead[pairs]
-            norm = np.einsum("nk,kl,nl->n", x, self.move, y)
-            moves += self.move * ((x / norm[:, None]).T @ y)
-            back = ahead @ self.move.T
-            back /= back.sum(1, keepdims=True)
-            beta = np.where(on[:, None], back, beta)
-        return starts, moves, emits, float(log.sum())
-
-
-def in_chunks(docs, tokens: int = 60_000):
+            a = lanes.live[t]
+            gamma[t][:, :a] = alpha[t][:, :a] * beta[:, :a]
+            ahead[t][:, :a] = emitted[t][:, :a] * beta[:, :a] / total[t, :a]
+            beta[:, :a] = move @ ahead[t][:, :a]
+        starts = gamma[0][:, lanes.heads].sum(1, dtype=np.float64)
+        inner = np.ones(n, bool)
+        inner[lanes.heads] = False
+        moves = np.matmul(alpha[:-1], ahead[1:].transpose(0, 2, 1)).sum(0, dtype=np.float64) + into[:, inner] @ ahead[0][:, inner].T
+        tokens = lanes.grid.ravel()
+        emits = np.stack([np.bincount(tokens, gamma[:, i].ravel(), self.emit.shape[1]) for i in range(k)])
+        return starts, moves * self.move, emits, float((log + self.peaks(docs)).sum())
+
+
+def in_chunks(docs, tokens: int = 120_000):
     """Lists of documents of about so many tokens."""
     part, n = [], 0
     for d in docs:
@@ -260,105 +349,68 @@ def in_chunks(docs, tokens: int = 60_000):
         yield part
 
 
-def baum_welch(encoded: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
-    """One round over all training documents: the next model, and the log likelihood of the one given."""
-    spark = encoded.sparkSession
+def classes_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def baum_welch(train: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
+    """One round over ``train`` (``classes``): the next model, and the log likelihood of the one given."""
+    spark = train.sparkSession
     held = spark.sparkContext.broadcast(model)
-    k, g = len(model.start), model.emit.shape[1]
+    k, g = model.emit.shape
+    columns = [f"s{i}" for i in range(k)]
 
     def run(batches):
         m = held.value
-        total = np.zeros(k + k * k + k * g + 1)
+        starts, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((k, g)), np.zeros(k)
         for batch in batches:
-            docs = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column(0).to_pylist()]
-            for part in in_chunks(docs):
-                starts, moves, emits, log = m.expect(part)
-                total += np.concatenate([starts, moves.reshape(-1), emits.reshape(-1), [log]])
-        whole = np.rint(total * UNIT).astype(np.int64)
-        at = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(whole[at])], ["at", "n"])
-
-    train = encoded.filter("ids IS NOT NULL AND NOT held_out").select("classes")
-    rows = train.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
-    total = np.zeros(k + k * k + k * g + 1)
-    for r in rows:
-        total[r.at] = float(r.n) / UNIT
-    return Model.of_counts(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(k, g), frequency), float(total[-1])
-
-
-def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, rounds: int = 40, settled: float = 5e-4, block_words: int = 400_000, block_tokens: int = 4_000_000) -> DataFrame:
-    """Per document its tokens, how many are known, and its log10 probability by unigrams and by the model."""
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
-    encoded = stash(encode(docs, held_out(F.col("doc_id")), block_words, block_tokens), "lm-encoded")
-
-    # Counts over the corpus, sent back to each block for its own words.
-    words = encoded.filter("word IS NOT NULL").select("block", "id", "word", "n")
-    of_word = Window.partitionBy("word")
-    counted = stash(
-        words.withColumns({"c": F.sum("n").over(of_word), "turn": F.row_number().over(of_word.orderBy("block"))})
-        .filter("c > 0")
-        .select("block", "id", "c", (F.col("turn") == 1).alias("once"), F.when(F.length("word") == 0, 0).otherwise(F.crc32("word") % (CLASSES - 1) + 1).cast("int").alias("class")),
-        "lm-counts",
-        few=True,
-    )
-    in_class, of_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counted.filter("once").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():
-        in_class[r["class"]], of_class[r["class"]] = r.v, r.n
-    n_tokens, n_words = int(of_class.sum()), int(in_class.sum())
-
-    frequency = (of_class + 0.5) / (of_class + 0.5).sum()
-    model, before = Model.draw(frequency), -np.inf
-    for _ in range(rounds if n_tokens else 0):
-        model, log = baum_welch(encoded, model, frequency)
+            for part in in_chunks(classes_of(batch.column(0))):
+                for total, more in zip((starts, moves, emits, log[:1]), m.expect(part, np.float32)):
+                    total += more
+        table = np.concatenate([emits.T, moves, starts[None], log[None]])
+        whole = np.rint(table * UNIT).astype(np.int64)
+        at = np.flatnonzero(whole.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(whole[at, i]) for i in range(k))], ["at", *columns])
+
+    sums = train.mapInArrow(run, "at int, " + ", ".join(f"{c} long" for c in columns)).groupBy("at").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in columns))
+    total = np.zeros((g + k + 2, k))
+    for r in sums.collect():
+        total[r.at] = [float(r[c]) / UNIT for c in columns]
+    return Model.of_counts(total[-2], total[g:-2], total[:g].T, frequency), float(total[-1, 0])
+
+
+def learn(resolved: DataFrame, tokens: np.ndarray, warm_rounds: int, rounds: int, settled: float) -> Model:
+    frequency = (tokens + 0.5) / (tokens + 0.5).sum()
+    model = Model.draw(frequency)
+    if not tokens.sum():
+        return model
+    train = resolved.filter("NOT held_out").select("classes")
+    for i in range(warm_rounds):
+        following, log = baum_welch(train.filter(F.pmod(F.xxhash64("classes"), F.lit(SHARES)) == i % SHARES), model, frequency)
+        if log:  # a share of a small corpus may be empty
+            model = following
+    before = -np.inf
+    for _ in range(rounds):
+        model, log = baum_welch(train, model, frequency)
         if log - before < settled * abs(log):
             break
         before = log
+    return model
 
-    held = spark.sparkContext.broadcast((model, np.log10(of_class + in_class + 1)))
-    share = np.log10(n_tokens + n_words + 1)
-    none = lambda **c: [F.lit(None).cast(t).alias(x) for x, t in c.items()]
-    stream = (
-        counted.select("block", *none(k="long", held_out="boolean", ids="binary", classes="binary"), "id", "c")
-        .unionByName(encoded.filter("ids IS NOT NULL").select("block", "k", "held_out", "ids", "classes", *none(id="int", c="long")))
-        .repartition(width, "block")
-        .sortWithinPartitions("block", F.col("k").isNotNull())
-    )
+
+def score_language(docs: DataFrame, held_out=lambda d: fold(d, 7) == 2, warm_rounds: int = 12, rounds: int = 4, settled: float = 5e-4, block_words: int = 400_000, block_tokens: int = 4_000_000) -> DataFrame:
+    """Per document its tokens, how many are known, and its log10 probability by unigrams and by the model."""
+    encoded = stash(encode(docs, held_out(F.col("doc_id")), block_words, block_tokens), "lm-encoded")
+    counted, tokens, distinct = count_words(encoded)
+    resolved = stash(resolve(encoded, counted, tokens, distinct), "lm-classes")
+    held = docs.sparkSession.sparkContext.broadcast(learn(resolved, tokens, warm_rounds, rounds, settled))
 
     def run(batches):
-        model, of = held.value
-        block, counts = None, np.zeros(0, np.int64)
-        for batch in batches:
-            of_block = batch.column(0).to_numpy()
-            is_doc = np.asarray(batch.column(1).is_valid())
-            edges = np.flatnonzero((of_block[1:] != of_block[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(of_block)]):
-                if lo == hi:
-                    continue
-                if of_block[lo] != block:
-                    block, counts = of_block[lo], np.zeros(0, np.int64)
-                part = batch.slice(lo, hi - lo)
-                if not is_doc[lo]:
-                    ids, c = part.column(5).to_numpy(), part.column(6).to_numpy()
-                    if len(ids) and ids.max() >= len(counts):
-                        grown = np.zeros(max(int(ids.max()) + 1, 2 * len(counts)), np.int64)
-                        grown[: len(counts)] = counts
-                        counts = grown
-                    counts[ids] = c
-                    continue
-                docs = [np.frombuffer(x, "<u2").astype(np.int32) for x in part.column(4).to_pylist()]
-                logs = [x for chunk in in_chunks(docs) for x in model.log_likelihood(chunk)]
-                n_all, n_known, base, score = [], [], [], []
-                for x, cls, log in zip(part.column(3).to_pylist(), docs, logs):
-                    ids = np.frombuffer(x, "<i4")
-                    c = np.where(ids < len(counts), counts[np.minimum(ids, max(0, len(counts) - 1))], 0) if len(counts) else np.zeros(len(ids), np.int64)
-                    own = np.log10(c + 1).sum()
-                    n_all.append(len(ids))
-                    n_known.append(int((c > 0).sum()))
-                    base.append(float(own - len(ids) * share))
-                    inner = np.where(cls > 0, np.log10(c + 1) - of[cls], 0.0).sum()
-                    score.append(float(log / np.log(10) + inner))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(x, t) for x, t in ((n_all, pa.int64()), (n_known, pa.int64()), (base, pa.float64()), (score, pa.float64())))], ["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = stream.mapInArrow(run, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(doc_id(), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        model = held.value
+        for batch in slices(batches, 500):
+            logs = [x for part in in_chunks(classes_of(batch.column(6))) for x in model.log_likelihood(part)]
+            score = np.array(logs) / np.log(10) + batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(score, pa.float64())], ["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = resolved.mapInArrow(run, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(doc_id(), "held_out", "n_tokens", "n_known", F.lit(int(tokens.sum())).cast("long").alias("train_tokens"), "base_score", "score")
