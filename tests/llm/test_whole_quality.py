@@ -1,5 +1,7 @@
 """The repeats' fence follows the group, and can reject what the base rule lets pass."""
 
+import numpy as np
+
 from graphlode.llm import qualityrules
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -31,3 +33,32 @@ def test_repeats_beyond_the_group_are_rejected(spark):
     assert found[101].kept and found[102].kept
     assert all(found[i].kept for i in range(40)) and all(found[200 + i].kept for i in range(36))
     assert {r.doc_id for r in qualityrules.keep_good(docs).collect()} == {k for k, r in found.items() if r.kept}
+
+
+def test_each_rule_rejects_something(spark):
+    prose = lambda key, n=200: " ".join(own(key, n))
+    rows = [(i, prose(200 + i), "en", "plain") for i in range(40)]
+    once = "\n".join(f"{prose(500 + i, 8)}" for i in range(30))
+    rows += [
+        (100, prose(100) + " #" * 30, "en", "plain"),
+        (101, repeating(101, 1000, 0.4), "en", "plain"),
+        (102, once + "\nover again" * 12, "en", "plain"),
+        (103, " ".join(f"w{i}" + "x" * 20 for i in range(200)), "en", "plain"),
+        (104, " ".join(f"w104x{i}" for i in np.random.default_rng(0).integers(10, 50, 300)), "en", "plain"),
+        (105, prose(105) + " # $", "en", "plain"),
+        (106, prose(106), "xx", "rare"),
+        (107, prose(107) + " #" * 30, "xx", "rare"),
+    ]
+    found = {r.k: r for r in qualityrules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k in range(100, 108) if not found[k].kept] == [100, 101, 102, 103, 104, 107]
+    assert all(found[i].kept for i in range(40))
+    beyond = lambda k, m: not found[k][f"{m}_low"] <= found[k][m] <= found[k][f"{m}_high"]
+    for k, m in ((100, "symbol_rate"), (101, "repeat_rate"), (102, "dup_line_rate"), (103, "mean_word"), (104, "distinct_rate"), (107, "symbol_rate")):
+        assert not found[k].base_failed and beyond(k, m), (k, m)
+
+
+def test_a_base_failing_text_does_not_move_the_fences(spark):
+    rows = [(i, " ".join(own(i, 200)), "en", "s") for i in range(40)]
+    junk = [(100 + i, "# " * 300, "en", "s") for i in range(200)]
+    limits = [sorted(map(tuple, qualityrules.fences(qualityrules.sketches(qualityrules.measure(spark.createDataFrame(x, SCHEMA)))).collect())) for x in (rows, rows + junk)]
+    assert limits[0] == limits[1]
