@@ -123,15 +123,29 @@ def test_language_model(docs, rows):
 
 
 def test_line_dedup(docs, rows):
-    got = sorted((r.k, r.n_lines, r.n_dropped, bytes(r.kept).decode()) for r in linededup.dedup_lines(docs, shard_keys=2).collect())
+    got = sorted((r.k, r.n_lines, r.n_dropped, bytes(r.kept).decode()) for r in linededup.dedup_lines(docs, shard_keys=2, probe_rows=3).collect())
     assert got == sorted(brute.line_dedup([(licenses_key(k), t) for k, t in rows]))
     assert any(r[2] for r in got)
 
 
 def test_perfect_hash():
-    keys = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
-    h = linededup.PerfectHash.unpack(linededup.PerfectHash.build(keys).pack())
-    assert sorted(h(keys).tolist()) == list(range(5000))
+    h, f = np.random.default_rng(0).integers(0, 1 << 63, (2, 5000), dtype=np.uint64)
+    h[:2000] = h[0]  # equal in one half, different in the other
+    f[3000:] = f[0]
+    built = linededup.PerfectHash.unpack(linededup.PerfectHash.build(h, f).pack())
+    assert sorted(built(h, f).tolist()) == list(range(5000))
+
+
+def test_lines_with_equal_halves_of_hashes(spark):
+    """Lines of which one 64-bit half is equal are different lines, and a hot shard is probed by several tasks."""
+    import xxhash
+
+    half = lambda x: bytes(8) + xxhash.xxh3_128_digest(x)[8:]
+    line = lambda i: f"line number {i} that is long enough to count as one"
+    rows = [(i, "\n".join([line(0)] + [line(1 + i % 3), line(100 + i)])) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.k, r.n_lines, r.n_dropped, bytes(r.kept).decode()) for r in linededup.dedup_lines(docs, shard_keys=4, probe_rows=5, hashed=half).collect())
+    assert got == sorted(brute.line_dedup(rows)) and sum(r[2] for r in got) > 13
 
 
 @pytest.mark.parametrize("options", [{}, {"block_bytes": 900}])
