@@ -12,13 +12,15 @@ a fragment of at most 2 * length bytes.
 2. What is left under an anchor with two or more different fragments goes to
    shards with its bytes.  A shard's suffix array is made by induced sorting:
    suffixes are classified, leftmost-smaller substrings are sorted by inducing from
-   their unsorted places and named, the string of names is ranked, and one more
-   induction gives the array.  Buckets are induced as whole arrays.  The string of
-   names is ranked by doubling on its repeated names only, and only so deep as
-   ``length`` bytes need.
-3. Permuted common prefixes (by text position, against the neighbour in the array,
-   capped at ``length``) show which neighbours share a string; in each run all but
-   the earliest start are repeats.
+   their unsorted places and named, the string of names is sorted in the same way
+   (recursively, until all names differ), and one more induction gives the array.
+   Over bytes, buckets are induced as whole arrays; over names, which have about as
+   many buckets as places, one suffix at a time.
+3. Permuted common prefixes are computed by text position: a place shares at least
+   one byte less with its neighbour in the array than the place before it, so only
+   what lies beyond is compared (places of one remainder at once, each from the
+   length its left neighbour carries over).  In array order they show which
+   neighbours share a string; in each run all but the earliest start are repeats.
 4. An anchor with more different fragments than a shard should hold is settled by
    an aggregation over its strings instead (``hot_fragments``), which combines on
    the map side; results are the same.
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import KIB, MIB, bodies, doc_id, shuffle_width, slices, stash
 
 GRAM = 24
+FEW_BUCKETS = 1024
 PLACE = np.uint64((1 << 20) - 1)
 U = np.uint64
 
@@ -98,8 +101,8 @@ def anchors(text: np.ndarray, lengths: np.ndarray, length: int):
     return d, start - (ends - lengths)[d], starts, g[anchor].view(np.int64), f.view(np.int64)
 
 
-def suffix_array(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (numbers from 1 to sigma - 1) in the order of at least their first ``depth`` numbers."""
+def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffixes of ``text`` (numbers from 1 to sigma - 1) in their order."""
     t = np.concatenate([text, [0]]).astype(np.int32)
     n = len(t)
     # Classify: S if smaller than the next suffix.
@@ -109,10 +112,11 @@ def suffix_array(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     is_s = np.ones(n, bool)
     is_s[:-1] = np.concatenate([step, [1]])[np.minimum(change, n - 1)] > 0
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    induced = induce if sigma <= FEW_BUCKETS else induce_singly
     if len(lms) == 1:  # the end alone
-        return induce(t, is_s, lms, sigma)[1:]
+        return induced(t, is_s, lms, sigma)[1:]
     # Sort leftmost-smaller substrings: induce from their places in text order.
-    order = induce(t, is_s, lms[np.argsort(t[lms], kind="stable")], sigma)
+    order = induced(t, is_s, lms[np.argsort(t[lms], kind="stable")], sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
@@ -130,29 +134,41 @@ def suffix_array(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
         same[live[differs]] = False
         live = live[inside & ~differs]
         o += 1
-    name = np.empty(n, np.int64)
-    name[order] = np.concatenate([[0], np.cumsum(~same)])
-    # Rank the string of names: a rank is the first place of its name in the order.
-    names = name[lms]
-    m, reach = len(names), 1
-    times = np.bincount(names, minlength=m)
-    rank = (np.cumsum(times) - times)[names]
-    while reach < depth:
-        times = np.bincount(rank, minlength=m)
-        tied = np.flatnonzero(times[rank] > 1)
-        if not len(tied):
-            break
-        after = np.where(tied + reach < m, rank[np.minimum(tied + reach, m - 1)] + 1, 0)
-        by = np.lexsort((after, rank[tied]))
-        r, s = rank[tied][by], after[by]
-        group = np.concatenate([[True], r[1:] != r[:-1]])
-        part = group | np.concatenate([[True], s[1:] != s[:-1]])
-        turn = np.arange(len(r))
-        refined = rank.copy()
-        refined[tied[by]] = r + np.maximum.accumulate(np.where(part, turn, 0)) - np.maximum.accumulate(np.where(group, turn, 0))
-        rank = refined
-        reach *= 2
-    return induce(t, is_s, lms[np.argsort(rank, kind="stable")], sigma)[1:]
+    if same.any():
+        name = np.empty(n, np.int64)
+        name[order] = np.concatenate([[0], np.cumsum(~same)])
+        # The end has name 0, which no other has, so it closes the string of names.
+        names = name[lms[:-1]]
+        order = lms[np.concatenate([[len(names)], suffix_array(names, int(names.max()) + 1)])]
+    return induced(t, is_s, order, sigma)[1:]
+
+
+def induce_singly(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """As ``induce``, one suffix at a time, for alphabets of very many numbers."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+    # The bucket of the suffix before each one if it is to be induced from the left, or from the right; else -1.
+    before = np.concatenate([[-1], t[:-1], [-1]])
+    small = np.concatenate([[False], is_s[:-1], [False]])
+    left, right = np.where(small, -1, before).tolist(), np.where(small, before, -1).tolist()
+    sa = [n] * n  # n: empty
+    tail = ends.tolist()
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = [0, *ends.tolist()]
+    for i in sa:  # goes on over what is put in on the way
+        c = left[i]
+        if c >= 0:
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in reversed(sa):
+        c = right[i]
+        if c >= 0:
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int64)
 
 
 def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -215,17 +231,29 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return sa
 
 
-def permuted_prefixes(text: np.ndarray, sa: np.ndarray, wanted: np.ndarray, cap: int) -> np.ndarray:
-    """For each wanted place, whether it shares ``cap`` bytes with the wanted place before it in the array; by place."""
-    order = sa[wanted[sa]]
-    w = words_at(np.concatenate([text, np.zeros(8, np.uint8)]))
-    shared = np.zeros(len(text), bool)
-    x, y = order[1:], order[:-1]
-    for o in [*range(0, cap - 7, 8), cap - 8]:
-        same = w[x + o] == w[y + o]
-        x, y = x[same], y[same]
-    shared[x] = True
-    return shared
+def permuted_prefixes(letters: np.ndarray, sa: np.ndarray, cap: int, stride: int = 32) -> np.ndarray:
+    """By place, how many letters it shares with the place before it in the array, up to ``cap``."""
+    n = len(letters)
+    before = np.empty(n, np.int64)
+    before[sa] = np.concatenate([[n], sa[:-1]])  # the first has the end before it
+    padded = np.concatenate([letters, np.zeros(cap + 8, letters.dtype)]).astype("<u2")
+    four = np.empty(n + cap + 4, np.uint64)  # the four letters from each place on as one number
+    for o in range(4):
+        part = four[o::4]
+        part[:] = padded[o : o + 4 * len(part)].view("<u8")
+    shared = np.zeros(n + 1, np.int64)  # the last is what the place before the first carries over
+    for r in range(stride):
+        x = np.arange(r, n, stride)
+        y = before[x]
+        length = np.maximum(shared[x - 1] - 1, 0) if r else np.zeros(len(x), np.int64)
+        on = np.arange(len(x))
+        while len(on):
+            differ = four[x[on] + length[on]] ^ four[y[on] + length[on]]
+            equal = np.where(differ == 0, 4, np.bitwise_count((differ & (~differ + U(1))) - U(1)) >> 4)
+            length[on] += equal
+            on = on[(equal == 4) & (length[on] < cap)]
+        shared[x] = np.minimum(length, cap)
+    return shared[:n]
 
 
 def shard_repeats(texts: list[bytes], ks: np.ndarray, starts: np.ndarray, length: int):
@@ -238,10 +266,15 @@ def shard_repeats(texts: list[bytes], ks: np.ndarray, starts: np.ndarray, length
     letters = flat.astype(np.int32) + 2
     letters[offset + sizes] = 1  # between fragments
     wanted = place + length <= sizes[of]
-    sa = suffix_array(letters, 258, length)
-    shared = permuted_prefixes(flat, sa, wanted, length)
-    order = sa[wanted[sa]]
-    run = np.cumsum(~shared[order]) - 1
+    sa = suffix_array(letters, 258)
+    # Two wanted places share as much as the least pair of neighbours between them.
+    at = np.flatnonzero(wanted[sa])
+    order = sa[at]
+    prefix = permuted_prefixes(letters, sa, length)[sa]
+    least = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else at
+    shared = least >= length
+    shared[:1] = False
+    run = np.cumsum(~shared) - 1
     k, p = ks[of[order]], starts[of[order]] + place[order]
     by = np.lexsort((p, k, run))
     run, k, p = run[by], k[by], p[by]
@@ -404,6 +437,8 @@ def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 256 * KIB, settle_bytes: int = 16 * MIB, shard_bytes: int = 512 * KIB, hot_fragments: int = 20_000) -> DataFrame:
     """``k``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay) for every row."""
+    if not 2 * GRAM <= length < 256 + GRAM or not 2 * length <= chunk <= int(PLACE):
+        raise ValueError(f"length must be from {2 * GRAM} to {255 + GRAM}, and chunk from twice that to {int(PLACE)}")
     width = shuffle_width(docs.sparkSession)
     found = stash(meet(fragments(docs, length, chunk, settle_bytes), width, length, hot_fragments), "repeat-fragments", few=True)
     placed = bodies(docs).repartition(width, "k")  # both joins below read this one exchange

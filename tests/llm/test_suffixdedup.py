@@ -12,17 +12,42 @@ def test_suffix_array_sorts(seed):
     text = rng.integers(1, 1 + [1, 2, 3, 5, 20, 200][seed], 400)
     if seed % 2:
         text = np.concatenate([text, text[50:300], text[:200]])
-    sa = sd.suffix_array(text, 258, len(text))
+    sa = sd.suffix_array(text, 258)
     want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
     assert sa.tolist() == want
 
 
-def test_suffix_array_is_right_to_its_depth():
+@pytest.mark.parametrize("few", [0, 1024])
+def test_names_are_sorted_recursively(monkeypatch, few):
+    """A string whose names repeat level by level, with buckets induced whole and singly."""
+    monkeypatch.setattr(sd, "FEW_BUCKETS", few)
+    depths, plain = [], sd.suffix_array
+    monkeypatch.setattr(sd, "suffix_array", lambda text, sigma: (depths.append(len(text)), plain(text, sigma))[1])
+    word = [1, 2]
+    for _ in range(9):  # of the Fibonacci kind: every level has few names that repeat
+        word = [2 if c == 1 else x for c in word for x in ((1, 2)[:1] if c == 2 else (1, 2)[1:])] + word
     rng = np.random.default_rng(9)
-    part = rng.integers(1, 4, 300)
-    text = np.concatenate([part, part, part, rng.integers(1, 4, 50), part])
-    keys = [text[i : i + 100].tolist() for i in sd.suffix_array(text, 5, 100)]
-    assert keys == sorted(keys)
+    part = rng.integers(1, 4, 300).tolist()
+    for text in (word, [1, 2] * 300, [2, 1, 1] * 200, part * 3 + rng.integers(1, 4, 50).tolist() + part, [5] * 400, [3], [1, 1]):
+        depths.clear()
+        sa = sd.suffix_array(np.array(text), 1 + max(text))
+        assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        if text == part * 3 + text[900:]:
+            assert len(depths) >= 3
+
+
+def test_permuted_prefixes():
+    rng = np.random.default_rng(4)
+    part = rng.integers(1, 4, 200)
+    text = np.concatenate([part, rng.integers(1, 258, 60), part, part[:90], [257] * 50])
+    sa = sd.suffix_array(text, 258)
+    for cap in (8, 100):
+        got = sd.permuted_prefixes(text, sa, cap)
+        for x, y in zip(sa[1:], sa[:-1]):
+            n = 0
+            while max(x, y) + n < len(text) and text[x + n] == text[y + n]:
+                n += 1
+            assert got[x] == min(n, cap)
 
 
 def repeats(rows, length):
