@@ -1,12 +1,16 @@
-"""License scan by key phrases and rare words.
+"""License scan with a positional index of rare words.
 
 A first pass counts in how many documents each licence word occurs, which gives
-inverse document frequencies; the counts are as many as licence words.  A second
-pass looks up, for every document, the rarest word of every short phrase and of
-every mandatory key phrase, and compares the phrases there, word for word.  Each
-start at which a template's key phrases lie within the template's reach is a
-candidate; it counts if enough of the template's IDF weight is in place.  Every
-template is judged for itself, at every such start, whatever else the text holds.
+inverse document frequencies; the counts are as many as licence words.  The index
+holds postings (template, offset) for the ``rare`` words of highest IDF of every
+template.  A second pass looks up every word of a document.  A posting's offset taken
+from the word's place is a start of its template; where postings of one template
+agree on a start, give or take ``drift`` words, their weights add up.  A start with
+enough of its template's weight counts if the mandatory key phrases stand word for
+word at their places from it.  Every template is judged for itself, at every start,
+whatever else the text holds; the words looked up are never cut by document.
+
+Base phrases are found by their rarest word and compared there, word for word.
 
 A null or empty text has no words, no labels and score 0.  A text with several
 licences gets all labels.  Equal documents get equal rows.
@@ -60,22 +64,35 @@ def words(body: bytes) -> list[bytes]:
     return body.translate(WORD_BYTES).split()
 
 
+def place_of(phrase: list[bytes], text: list[bytes]) -> int:
+    return next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
+
+
 class Index:
-    """Templates and base phrases, with the word by which each phrase is found."""
+    """Postings of the templates' rare words, and the word by which each phrase is found."""
 
     def __init__(self):
         self.phrases = [(label, words(p.encode())) for p, label in PHRASES.items()]
-        self.templates = [(label, words(t.encode()), [words(k.encode()) for k in keys]) for label, t, keys in TEMPLATES]
-        self.vocabulary = frozenset(w for _, body, keys in self.templates for w in body + sum(keys, [])) | {w for _, p in self.phrases for w in p}
+        self.templates = []
+        for label, text, keys in TEMPLATES:
+            body = words(text.encode())
+            self.templates.append((label, body, [(k, place_of(k, body)) for k in (words(k.encode()) for k in keys)]))
+        self.vocabulary = frozenset(w for _, body, _ in self.templates for w in body) | {w for _, p in self.phrases for w in p}
 
-    def weigh(self, holders: dict[bytes, int], n_docs: int):
+    def weigh(self, holders: dict[bytes, int], n_docs: int, rare: int):
         """Set the IDF weights, and what follows from them."""
-        self.idf = {w: math.log((n_docs + 1) / (holders.get(w, 0) + 1)) + 1e-9 for w in self.vocabulary}
-        rarest = lambda p: max(range(len(p)), key=lambda i: (self.idf[p[i]], p[i]))
+        idf = {w: math.log((n_docs + 1) / (holders.get(w, 0) + 1)) + 1e-9 for w in self.vocabulary}
+        rarest = lambda p: max(range(len(p)), key=lambda i: (idf[p[i]], p[i]))
         self.anchors = [(label, p, rarest(p)) for label, p in self.phrases]
-        self.totals = [sum(self.idf[w] for w in body) for _, body, _ in self.templates]
-        self.key_anchors = [[(key, rarest(key)) for key in keys] for _, _, keys in self.templates]
-        self.keys = {p[a] for _, p, a in self.anchors} | {key[a] for keys in self.key_anchors for key, a in keys}
+        self.postings: dict[bytes, list[tuple[int, int, float]]] = {}
+        self.totals = []
+        for t, (_, body, _) in enumerate(self.templates):
+            chosen = sorted(set(body), key=lambda w: (-idf[w], w))[:rare]
+            places = [(i, w) for i, w in enumerate(body) if w in chosen]
+            self.totals.append(sum(idf[w] for _, w in places))
+            for i, w in places:
+                self.postings.setdefault(w, []).append((t, i, idf[w]))
+        self.looked_up = frozenset(self.postings) | {p[a] for _, p, a in self.anchors}
         return self
 
 
@@ -95,60 +112,70 @@ def holders(docs: DataFrame, vocabulary: frozenset) -> tuple[dict[bytes, int], i
     return got, got.pop(b"", 0)
 
 
-def scan_one(w: list[bytes], index: Index, share: float):
+def scan_one(w: list[bytes], index: Index, share: float, drift: int):
     """(places of base phrases as (start, label), {other label: share of its weight in place})."""
-    places: dict[bytes, list[int]] = {}
-    keys = index.keys
-    if keys.isdisjoint(w):
+    if index.looked_up.isdisjoint(w):
         return [], {}
+    base: list[tuple[int, str]] = []
+    votes: dict[int, list[tuple[int, int, float]]] = {}
+    by_word = index.postings
     for i, x in enumerate(w):
-        if x in keys:
-            places.setdefault(x, []).append(i)
-    base = [(i, label) for label, p, a in index.anchors for i in stands(w, p, a, places)]
+        if x not in index.looked_up:
+            continue
+        base += [(i - a, label) for label, p, a in index.anchors if p[a] == x and i >= a and w[i - a : i - a + len(p)] == p]
+        for t, offset, weight in by_word.get(x, ()):
+            votes.setdefault(t, []).append((i - offset, offset, weight))
     found: dict[str, float] = {}
-    for (label, body, _), total, anchored in zip(index.templates, index.totals, index.key_anchors):
-        for start in starts(w, len(body), anchored, places):
-            inside = sum(index.idf[x] for x, y in zip(body[max(0, -start) :], w[max(0, start) : start + len(body)]) if x == y) / total
-            if inside >= max(share, found.get(label, 0.0)):
-                found[label] = inside
-                if inside >= 1.0:
-                    break
+    for t, starts in votes.items():
+        label, _, keys = index.templates[t]
+        total = index.totals[t]
+        if sum({offset: weight for _, offset, weight in starts}.values()) < share * total:
+            continue
+        for low, high, inside in agreeing(sorted(starts), drift):
+            if inside / total >= max(share, found.get(label, 0.0)) and all(stands(w, key, at + low - drift, at + high + drift) for key, at in keys):
+                found[label] = inside / total
     return base, found
 
 
-def stands(w: list[bytes], phrase: list[bytes], anchor: int, places: dict[bytes, list[int]]) -> list[int]:
-    """Where a phrase stands, from the places of one of its words."""
-    return [i - anchor for i in places.get(phrase[anchor], ()) if i >= anchor and w[i - anchor : i - anchor + len(phrase)] == phrase]
+def agreeing(starts: list[tuple[int, int, float]], drift: int):
+    """(first start, last start, weight of their offsets) of each run of starts at most ``drift`` apart in all."""
+    held: Counter = Counter()
+    inside, first = 0.0, 0
+    for start, offset, weight in starts:
+        if not held[offset]:
+            inside += weight
+        held[offset] += 1
+        while starts[first][0] < start - drift:
+            _, gone, less = starts[first]
+            held[gone] -= 1
+            if not held[gone]:
+                inside -= less
+            first += 1
+        yield starts[first][0], start, inside
 
 
-def starts(w: list[bytes], length: int, anchored: list, places: dict[bytes, list[int]]) -> set[int]:
-    """Starts of a template from which all its key phrases lie in its words or the 8 behind them."""
-    out: set[int] | None = None
-    for key, a in anchored:
-        near = {s for at in stands(w, key, a, places) for s in range(at + len(key) - length - 8, at + 1)}
-        out = near if out is None else out & near
-        if not out:
-            break
-    return out or set()
+def stands(w: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
+    """Whether a phrase starts at a place from ``low`` to ``high``."""
+    return any(w[i] == phrase[0] and w[i : i + len(phrase)] == phrase for i in range(max(0, low), min(high + 1, len(w))))
 
 
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, share: float = 0.5, carry=("doc_id",)) -> DataFrame:
+def scan_licenses(docs: DataFrame, share: float = 0.5, rare: int = 16, drift: int = 8, carry=("doc_id",)) -> DataFrame:
     """``row``, ``k``, counts and places of base phrases, base labels, all labels and a score.
 
     The score is 1 if a base phrase stands in the text, else the largest share of a
-    template's IDF weight that stands in place, else 0.
+    template's IDF weight (of its indexed words) that stands in place, else 0.
     """
     index = Index()
-    index.weigh(*holders(docs, index.vocabulary))
+    index.weigh(*holders(docs, index.vocabulary), rare)
 
     def scan(texts):
         rows = []
         for body in texts:
             w = words(body)
-            base, found = scan_one(w, index, share)
+            base, found = scan_one(w, index, share, drift)
             at = [s for s, _ in base]
             labels = {x for _, x in base}
             score = 1.0 if base else min(1.0, max(found.values(), default=0.0))
