@@ -13,17 +13,18 @@ and passes are put together by document.  Documents are never shuffled for a
 benchmark of one group.
 
 Null and empty texts and items have no words; they are never hit and never hit
-others.  Equal items each count.
+others.  Equal items each count.  A null ``item_id`` is named by the empty text, as is
+an item with that name; rows of one ``item_id`` are one item.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .common import annotate, doc_id
 
@@ -104,10 +105,10 @@ def search(docs: DataFrame, items: list[tuple[str, bytes]], width: int, carry) -
                 for start, p in table(w):
                     got |= found_in[p]
                     ranges.append((start, start + len(p)))
-            rows.append((zlib.crc32(body), len(w), [x for r in union(ranges) for x in r], sorted(got)))
+            rows.append((xxh3_128_digest(body), len(w), [x for r in union(ranges) for x in r], sorted(got)))
         return list(zip(*rows)) if rows else [[]] * 4
 
-    return annotate(docs, scan, "sum long, n_words long, spans array<long>, items array<string>", carry)
+    return annotate(docs, scan, "sum binary, n_words long, spans array<long>, items array<string>", carry)
 
 
 def union(ranges):

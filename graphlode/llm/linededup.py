@@ -163,7 +163,7 @@ def probe(lines: DataFrame, tables: DataFrame, n_shards: int, probe_rows: int, l
     return stream.mapInArrow(run, "k long, h long, f long")
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, shard_keys: int = 250_000, probe_rows: int = 1_000_000, carry=("doc_id",), hashed=xxh3_128_digest) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, shard_keys: int = 50_000, probe_rows: int = 100_000, carry=("doc_id",), hashed=xxh3_128_digest) -> DataFrame:
     """``row`` (the carried columns), ``k``, ``n_lines``, ``n_dropped`` and ``kept``, the text that remains."""
     if not 1 <= least_docs <= 255:
         raise ValueError("least_docs must be from 1 to 255")

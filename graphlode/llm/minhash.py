@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, ngram: int, halves: int, carry) -> DataFrame:
 def ties(reps: DataFrame, halves: int, least: float) -> DataFrame:
     """``a`` and ``b``: documents tied to the smallest of a bucket, with signatures that agree enough."""
     tables = F.explode(F.sequence(F.lit(0), F.lit(halves * halves - 1))).alias("t")
-    keyed = reps.select("k", "n", "sig", tables).select(
+    keyed = reps.repartition(shuffle_width(reps.sparkSession), "k").select("k", "n", "sig", tables).select(
         F.xxhash64(F.element_at("sig", (F.col("t") / halves).cast("int") + 1), F.element_at("sig", F.col("t") % halves + 1 + halves), "t").alias("key"),
         "k",
         "n",

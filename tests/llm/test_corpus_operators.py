@@ -170,6 +170,28 @@ def test_families_of_unlinked_neighbours(spark):
         assert got == {k: c for k, (_, c) in brute.near(rows, 4).items()}
 
 
+def test_recall_among_excerpts(spark):
+    """Pairs of similarity 0.8 to 0.85 whose short excerpts are the smallest of many of their buckets: all are found."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for i in range(60):
+        body = [f"d{i}w{j}" for j in range(160)]
+        other = list(body)
+        for j in range(3, 160, 40):  # four words changed: 157 shingles each, 141 shared
+            other[j] = f"x{i}y{j}"
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(other))]
+        for e in range(12):
+            at, n = int(rng.integers(0, 120)), int(rng.integers(12, 40))
+            rows.append((10_000 + 100 * i + e, " ".join(body[at : at + n])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.k: r.component for r in minhash.near_duplicates(docs, ngram=4).collect()}
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for k, t in rows}
+    alike = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert all(0.8 <= s < 0.86 for s in alike)
+    assert all(got[a] == got[b] for a, b in pairs)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.v: r.component for r in components.components(edges, "a", "b").collect()}
