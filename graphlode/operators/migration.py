@@ -103,9 +103,13 @@ def state_strategy(uses: DataFrame) -> DataFrame:
 
 def workflows(uses: DataFrame) -> DataFrame:
     """Write-then-read flows between files for each state key."""
-    w = uses.filter("access = 'write'").select("state", F.col("file").alias("writer")).distinct()
-    r = uses.filter("access = 'read'").select("state", F.col("file").alias("reader")).distinct()
-    return w.join(r, "state").filter("writer != reader").groupBy("state").agg(F.count("*").alias("flows"), F.count_distinct("writer").alias("writers"), F.count_distinct("reader").alias("readers"))
+    of_file = uses.groupBy("state", "file").agg(F.max(F.col("access") == "write").alias("w"), F.max(F.col("access") == "read").alias("r"))
+    n = lambda c: F.sum(c.cast("long"))
+    sums = of_file.groupBy("state").agg(n(F.col("w")).alias("all_w"), n(F.col("r")).alias("all_r"), n(F.col("w") & F.col("r")).alias("both"))
+    # Pairs are counted, not made: all but those of a file with itself; a file alone on the other side has no partner.
+    flows = (F.col("all_w") * F.col("all_r") - F.col("both")).alias("flows")
+    partnered = lambda own, other: F.when(F.col(other) > 1, F.col(own)).otherwise(F.col(own) - F.col("both"))
+    return sums.select("state", flows, partnered("all_w", "all_r").alias("writers"), partnered("all_r", "all_w").alias("readers")).filter("flows > 0")
 
 
 def coverage(pages: DataFrame, facts: DataFrame, dimensions: list[str]) -> DataFrame:

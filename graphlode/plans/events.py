@@ -61,7 +61,7 @@ def runtime_reconcile(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT 'src/' || user_id || '/part' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '.vb' AS frame FROM events WHERE event_type = 'error'),
- b AS (SELECT 'part' || (p_partkey % 100) || '.vb' AS base, 'app/m' || (p_partkey % 13) || '/Part' || (p_partkey % 100) || '.vb' AS path, p_size / 50.0 AS centrality FROM part WHERE p_partkey < 400),
+ b AS (SELECT 'part' || (p_partkey % 100) || '.vb' AS base, 'app/m' || (p_partkey % 13) || '/Part' || (p_partkey % 100) || '.vb' AS path, p_size / 50.0 AS centrality FROM part),
  h AS (SELECT string_split(frame, '/')[-1] AS base, count(*) AS frames FROM f GROUP BY 1)
 SELECT path, frames, round(0.3 * frames + 0.1 * max(centrality), 6) AS score FROM b JOIN h ON b.base = h.base GROUP BY path, frames"""
 )
@@ -69,7 +69,7 @@ def error_triage(spark, sf_dir):
     """Files behind stack frames, by base name and centrality."""
     k = F.get_json_object("props", "$.k").cast("long").cast("string")
     frames = events(spark, sf_dir).filter("event_type = 'error'").select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit("/part"), k, F.lit(".vb")).alias("frame_file"))
-    p = table(spark, sf_dir, "part").filter("p_partkey < 400")
+    p = table(spark, sf_dir, "part")
     path = F.concat(F.lit("app/m"), (F.col("p_partkey") % 13).cast("string"), F.lit("/Part"), (F.col("p_partkey") % 100).cast("string"), F.lit(".vb"))
     files = p.groupBy(path.alias("path")).agg(F.max(F.col("p_size") / 50.0).alias("centrality"))
     return resolve.triage(frames, files, 1_000_000).select("path", "frames", F.round("score", 6).alias("score"))

@@ -228,12 +228,12 @@ def graph_search(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'ships' END AS kind FROM lineitem)
-SELECT dst AS node, kind, count(*) AS n, count(DISTINCT src) AS sources FROM e WHERE dst < 200 GROUP BY 1, 2"""
+SELECT dst AS node, kind, count(*) AS n, count(DISTINCT src) AS sources FROM e GROUP BY 1, 2"""
 )
 def find_references(spark, sf_dir):
     """References to nodes, grouped by kind."""
     kind = F.when(F.col("l_returnflag") == "R", "returns").otherwise("ships")
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey < 200").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("node"), kind.alias("kind"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("node"), kind.alias("kind"))
     return rows.groupBy("node", "kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
 
 
@@ -244,9 +244,9 @@ def query_nodes(spark, sf_dir):
 
 
 @query(
-    """SELECT src, dst, sum(w)::BIGINT AS weight FROM (SELECT l_suppkey AS src, l_partkey AS dst, 1 AS w FROM lineitem WHERE l_linenumber <= 2
-UNION ALL SELECT l_partkey, l_suppkey, 1 FROM lineitem WHERE l_linenumber <= 2) GROUP BY 1, 2"""
+    """SELECT src, dst, sum(w)::BIGINT AS weight FROM (SELECT l_suppkey AS src, l_partkey AS dst, 1 AS w FROM lineitem
+UNION ALL SELECT l_partkey, l_suppkey, 1 FROM lineitem) GROUP BY 1, 2"""
 )
 def weighted_increment(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("ships").alias("kind"), F.lit(1).cast("long").alias("weight"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("ships").alias("kind"), F.lit(1).cast("long").alias("weight"))
     return graph.increment(rows.limit(0), rows, undirected=True).select("src", "dst", "weight")

@@ -57,14 +57,14 @@ def feature_contract(spark, sf_dir):
     return planning.check_contract(a, b)
 
 
-@query("SELECT l_returnflag AS kind, l_suppkey AS item, count(DISTINCT l_orderkey) AS files FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) >= 3")
+@query("SELECT l_returnflag AS kind, l_suppkey AS item, count(DISTINCT l_orderkey) AS files FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) >= 3")
 def implementation_pattern(spark, sf_dir):
     """Ingredients that several exemplars share."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400")
+    li = table(spark, sf_dir, "lineitem")
     return planning.common_ingredients(li.select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("item")), 3)
 
 
-CALLS = "c AS (SELECT DISTINCT l_orderkey % 500 AS caller, l_partkey % 700 AS callee FROM lineitem WHERE l_linenumber = 1)"
+CALLS = "c AS (SELECT DISTINCT l_orderkey % 500 AS caller, l_partkey % 700 AS callee FROM lineitem)"
 
 
 @query(
@@ -72,7 +72,7 @@ CALLS = "c AS (SELECT DISTINCT l_orderkey % 500 AS caller, l_partkey % 700 AS ca
 SELECT function, CASE WHEN function IN (SELECT caller FROM d) OR function IN (SELECT caller FROM h) THEN 'guarded' WHEN function IN (SELECT caller FROM c) THEN 'unguarded' ELSE 'unknown' END AS status FROM f"""
 )
 def guards_map(spark, sf_dir):
-    calls = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 500).alias("caller"), (F.col("l_partkey") % 700).alias("callee")).distinct()
+    calls = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("caller"), (F.col("l_partkey") % 700).alias("callee")).distinct()
     guards = spark.range(0, 700, 50).select(F.col("id").alias("guard"))
     return planning.guard_status(spark.range(700).select(F.col("id").alias("function")), calls, guards)
 
@@ -106,14 +106,14 @@ def procedure_chain(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE a AS (SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part WHERE p_partkey > 0), l AS (SELECT p_partkey % 50 AS loop, p_partkey AS node FROM part WHERE p_partkey BETWEEN 1 AND 150), d AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 10 = 0),
+    """WITH RECURSIVE a AS (SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part WHERE p_partkey > 0), l AS (SELECT p_partkey % 50 AS loop, p_partkey AS node FROM part WHERE p_partkey > 0), d AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 10 = 0),
  r(root, node, depth) AS (SELECT node, node, 0 FROM l UNION SELECT r.root, a.dst, r.depth + 1 FROM r JOIN a ON a.src = r.node WHERE r.depth < 4), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2),
  h AS (SELECT root, min(depth) AS depth, count(*) AS targets FROM m WHERE node IN (SELECT node FROM d) GROUP BY 1) SELECT loop, min(depth) AS depth, sum(targets)::BIGINT AS targets FROM l JOIN h ON h.root = l.node GROUP BY 1"""
 )
 def n_plus_one(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     calls = p.filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2).alias("dst"))
-    loops = p.filter("p_partkey BETWEEN 1 AND 150").select((F.col("p_partkey") % 50).alias("loop"), F.col("p_partkey").alias("node"))
+    loops = p.filter("p_partkey > 0").select((F.col("p_partkey") % 50).alias("loop"), F.col("p_partkey").alias("node"))
     return migration.n_plus_one(loops, calls, p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node")))
 
 
@@ -128,11 +128,11 @@ def missing_indexes(spark, sf_dir):
     return migration.missing_indexes(p, i)
 
 
-USES = "u AS (SELECT DISTINCT l_partkey % 60 AS state, l_suppkey AS file, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'write' ELSE 'read' END AS access FROM lineitem WHERE l_orderkey < 300)"
+USES = "u AS (SELECT DISTINCT l_partkey % 60 AS state, l_suppkey AS file, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'write' ELSE 'read' END AS access FROM lineitem)"
 
 
 def uses(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 300")
+    li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_partkey") % 60).alias("state"), F.col("l_suppkey").alias("file"), F.when((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"), "write").otherwise("read").alias("access")).distinct()
 
 
@@ -301,7 +301,7 @@ def route_resolution(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT vec_id AS node, label FROM embeddings WHERE vec_id < 300), t AS (SELECT DISTINCT label, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM l JOIN documents ON doc_id = node),
+    """WITH l AS (SELECT vec_id AS node, label FROM embeddings), t AS (SELECT DISTINCT label, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM l JOIN documents ON doc_id = node),
  n AS (SELECT label, term, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT term, count(*) AS c FROM n GROUP BY 1), x AS (SELECT n.label, n.term, n.n, round(n.n * ln(1 + (SELECT count(DISTINCT label) FROM l)::DOUBLE / c), 6) AS score FROM n JOIN s ON s.term = n.term)
 SELECT label, score, turn FROM (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS turn FROM x) WHERE turn <= 3"""
 )
@@ -311,7 +311,7 @@ def cluster_summaries(spark, sf_dir):
 
     from graphlode.operators import extract
 
-    labels = table(spark, sf_dir, "embeddings").filter("vec_id < 300").select(F.col("vec_id").alias("node"), "label")
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "label")
     top = extract.cluster_terms(labels, table(spark, sf_dir, "documents"), "doc_id", "text", 3).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("label").orderBy(F.desc("score"), "term")
     return top.select("label", "score", F.row_number().over(w).cast("long").alias("turn"))

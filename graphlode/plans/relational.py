@@ -68,11 +68,11 @@ def rollup_customers(spark, sf_dir):
 
 @query(
     """SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS turn, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running, o_orderkey - lag(o_orderkey) OVER w AS gap, ntile(4) OVER w AS quarter
- FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE o_custkey < 300"""
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 )
 def window_orders(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 300")
+    o = table(spark, sf_dir, "orders")
     return o.select(
         "o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("turn"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), (F.col("o_orderkey") - F.lag("o_orderkey").over(w)).alias("gap"), F.ntile(4).over(w).cast("long").alias("quarter")
     )
@@ -109,23 +109,23 @@ def settings_usage(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT c_nationkey AS k, c_name AS name FROM customer WHERE c_custkey < 400), a AS (SELECT 'Customer#' || lpad(CAST(x * 37 % 900 AS VARCHAR), 9, '0') AS ask, x FROM range(100) t(x))
+    """WITH a AS (SELECT 'Customer#' || lpad(CAST(x * 37 % 900 AS VARCHAR), 9, '0') AS ask, x FROM range(100) t(x))
 SELECT ask, CASE WHEN count(DISTINCT c_custkey) = 0 THEN 'not_found' WHEN count(DISTINCT c_custkey) = 1 THEN 'unique' ELSE 'ambiguous' END AS status, min(c_custkey) AS node
-FROM a LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 400) c ON lower(ask) = lower(c_name) GROUP BY 1"""
+FROM a LEFT JOIN customer c ON lower(ask) = lower(c_name) GROUP BY 1"""
 )
 def resolution_ladder(spark, sf_dir):
     asked = spark.range(100).select(F.concat(F.lit("Customer#"), F.lpad((F.col("id") * 37 % 900).cast("string"), 9, "0")).alias("ask"))
-    named = table(spark, sf_dir, "customer").filter("c_custkey < 400")
+    named = table(spark, sf_dir, "customer")
     rungs = [("id", F.col("ask"), F.col("c_custkey").cast("string"), 1.0), ("name", F.lower("ask"), F.lower("c_name"), 0.85)]
     return resolve.resolve(asked, "ask", named, "c_custkey", rungs).select("ask", "status", "node")
 
 
-RANGES = """a AS (SELECT l_orderkey % 50 AS path, l_partkey % 997 AS s, l_partkey % 997 + l_linenumber AS e, l_orderkey * 10 + l_linenumber AS hit FROM lineitem WHERE l_orderkey < 600),
+RANGES = """a AS (SELECT l_orderkey % 50 AS path, l_partkey % 997 AS s, l_partkey % 997 + l_linenumber AS e, l_orderkey * 10 + l_linenumber AS hit FROM lineitem),
  b AS (SELECT p_partkey % 50 AS path, p_partkey * 7 % 997 AS fs, p_partkey * 7 % 997 + p_size AS fe, p_partkey AS symbol FROM part)"""
 
 
 def hits(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").filter("l_orderkey < 600")
+    a = table(spark, sf_dir, "lineitem")
     return a.select((F.col("l_orderkey") % 50).alias("path"), (F.col("l_partkey") % 997).alias("s"), (F.col("l_partkey") % 997 + F.col("l_linenumber")).alias("e"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit"))
 
 

@@ -63,14 +63,14 @@ def blast_gate(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT o_custkey AS past, o_orderpriority AS family FROM orders WHERE o_custkey < 200), n AS (SELECT family, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3),
+    """WITH p AS (SELECT DISTINCT o_custkey AS past, o_orderpriority AS family FROM orders WHERE o_custkey NOT BETWEEN 200 AND 260), n AS (SELECT family, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3),
  s AS (SELECT a.family, b.family AS other, count(*)::DOUBLE / n.n AS share FROM p a JOIN p b ON a.past = b.past AND a.family <> b.family JOIN n ON n.family = a.family GROUP BY 1, 2, n.n HAVING count(*)::DOUBLE / n.n >= 0.4),
  c AS (SELECT DISTINCT o_custkey AS change, o_orderpriority AS family FROM orders WHERE o_custkey BETWEEN 200 AND 260)
 SELECT c.change, c.family AS file, CASE WHEN share >= 0.6 THEN 'warning' ELSE 'advisory' END AS severity, s.other AS detail FROM c JOIN s ON s.family = c.family WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.change = c.change AND x.family = s.other)"""
 )
 def co_added_family_gate(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("change"), F.col("o_orderpriority").alias("family"))
-    out = review.co_added(o.filter("change BETWEEN 200 AND 260").distinct(), o.filter("change < 200"))
+    out = review.co_added(o.filter("change BETWEEN 200 AND 260").distinct(), o.filter("change NOT BETWEEN 200 AND 260"))
     return out.select("change", "file", "severity", F.regexp_extract("detail", r"^(.*):[^:]*$", 1).alias("detail"))
 
 
@@ -85,14 +85,14 @@ def sync_contract_gate(spark, sf_dir):
 
 @query(
     """WITH h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
- w AS (SELECT item_id AS pattern, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS n, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark WHERE item_id < 10),
+ w AS (SELECT item_id AS pattern, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS n, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark),
  s AS (SELECT doc_id, pattern, count(*) AS hits, min(n) AS n FROM h JOIN w ON h.term = w.term GROUP BY 1, 2)
 SELECT doc_id AS file, pattern, CASE WHEN hits::DOUBLE / n > 0.8 THEN 'critical' ELSE 'warning' END AS severity FROM s WHERE hits >= least(4, n) AND hits::DOUBLE / n > 0.15"""
 )
 def anti_pattern_gate(spark, sf_dir):
     from graphlode.functions import text as tx
 
-    patterns = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("pattern"), tx.words(F.col("text")).alias("terms"))
+    patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern"), tx.words(F.col("text")).alias("terms"))
     out = review.anti_patterns(lines(spark, sf_dir), patterns)
     return out.select("file", F.regexp_extract("detail", r"^(\d+):", 1).cast("long").alias("pattern"), "severity")
 
