@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extension and language (fixed values).
+#: Extension and language (fixed values); all others are text.
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
-    "cs": "csharp", "vb": "vbnet", "java": "java", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp",
-    "sql": "sql", "html": "html", "htm": "html", "css": "css", "json": "json", "xml": "xml", "yml": "yaml", "yaml": "yaml",
-    "md": "markdown", "aspx": "aspx", "ascx": "aspx", "master": "aspx", "asp": "asp", "config": "config", "rdl": "rdl",
-    "sh": "shell", "ps1": "powershell", "toml": "toml", "rb": "ruby", "php": "php",
+    "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "go": "go", "java": "java",
+    "cs": "csharp", "vb": "vbnet", "ml": "minilang", "mlinc": "minilang", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "c": "c",
+    "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "aspx": "aspx", "ascx": "aspx", "master": "aspx", "asmx": "aspx", "ashx": "aspx", "svc": "aspx", "asax": "aspx",
+    "config": "xml", "xml": "xml", "csproj": "xml", "vbproj": "xml", "rdlc": "xml", "rdl": "xml", "dbml": "xml", "edmx": "xml",
+    "sql": "sql", "asp": "asp_classic",
 }
 
 
@@ -29,7 +30,10 @@ def language_of(path: Column) -> Column:
 
 
 def is_vendor(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(node_modules|vendor|third_party|bower_components|packages)/|\.min\.(js|css)$|(^|/)jquery-[0-9.]+\.js$")
+    """Package folders, minified or bundled files, and versioned copies of one library (fixed values)."""
+    p = F.lower(normal_path(path))
+    folder = p.rlike(r"(^|/)(node_modules|bower_components|jspm_packages|vendor|vendors|packages)(/|$)|wwwroot/lib/")
+    return folder | p.rlike(r"\.(min\.js|min\.css|min\.map|bundle\.js|umd\.js)$|(^|/)jquery-(\d|ui-)[^/]*$")
 
 
 def is_declaration(path: Column) -> Column:

@@ -42,8 +42,8 @@ def code_tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All three-character substrings, case preserved, in order."""
-    n = F.char_length(text)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # A zero-width match at every character; the class keeps it from starting inside a surrogate pair.
+    return F.coalesce(F.regexp_extract_all(text, F.lit(r"(?=(\P{Cs}{3}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def snippet(text: Column, most: int = 500) -> Column:

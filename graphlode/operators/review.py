@@ -14,12 +14,18 @@ from pyspark.sql.window import Window
 from graphlode.functions import paths as px
 from graphlode.functions import text as tx
 
-#: Secret kinds and their patterns (fixed values).
+#: Secret kinds and their patterns (fixed values, as their issuers form them).
 SECRETS = {
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "aws_secret": r"""(?i)\baws.{0,20}?(?:secret|key).{0,20}?['"\s:=]+["']?[A-Za-z0-9/+]{40}\b""",
+    "google_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "openai_key": r"\bsk-[A-Za-z0-9]{20,}\b",
+    "openai_key": r"\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b",
+    "slack_token": r"\bxox(?:b-[0-9]+|p-[0-9]+-[0-9]+)-[0-9]+-[A-Za-z0-9]+\b",
+    "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{24,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+    "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
+    "credential": r"""(?i)(?:password|passwd|secret|token|api[_-]?key|auth[_-]?key)\b[^"'\n]{0,40}[:=]\s*["'][A-Za-z0-9_!@#$%^&*+/=-]{12,}["']""",
     "connection_string": r"(?i)\b(?:password|pwd)\s*=\s*[^;\s]{4,}",
 }
 DESTRUCTIVE = r"(?i)\b(?:drop\s+table|truncate\s+table|delete\s+from|rm\s+-rf)\b"

@@ -145,7 +145,7 @@ def half_open_period(spark, sf_dir):
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query()
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     """The hourly windows as a stream over the file, complete mode."""
     from graphlode.streaming import incremental

@@ -10,7 +10,8 @@ from graphlode.plans import query
 from graphlode.plans.history import PAIRS, files
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents)"
-KEYS = [("aws_key", r"\bAKIA[0-9A-Z]{16}\b"), ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"), ("openai_key", r"\bsk-[A-Za-z0-9]{20,}\b"), ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"), ("connection_string", r"(?i)\b(?:password|pwd)\s*=\s*[^;\s]{4,}")]
+KEYS = list(review.SECRETS.items())
+SQL_KEYS = [(k, p.replace("'", "''")) for k, p in KEYS]
 
 
 def lines(spark, sf_dir):
@@ -20,7 +21,7 @@ def lines(spark, sf_dir):
 
 @query(
     f"WITH {LINES}, s AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, unnest(regexp_extract_all(line, '{p}')) AS secret FROM l" for k, p in KEYS)
+    + " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, unnest(regexp_extract_all(line, '{p}')) AS secret FROM l" for k, p in SQL_KEYS)
     + ") SELECT doc_id AS file, line_no, kind || ':' || left(sha256(secret), 12) AS detail FROM s"
 )
 def secret_scan(spark, sf_dir):
@@ -109,9 +110,13 @@ def repo_rule_verdict(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES} SELECT doc_id AS file, line_no, regexp_replace(regexp_replace(line, '\\bAKIA[0-9A-Z]{{16}}\\b', '[aws_key]', 'g'), '(?i)\\b(?:password|pwd)\\s*=\\s*[^;\\s]{{4,}}', '[connection_string]', 'g') AS line FROM l
-WHERE regexp_matches(line, '\\bAKIA[0-9A-Z]{{16}}\\b|(?i)\\b(?:password|pwd)\\s*=\\s*[^;\\s]{{4,}}')"""
+    f"WITH {LINES} SELECT doc_id AS file, line_no, "
+    + "regexp_replace(" * len(SQL_KEYS) + "line" + "".join(f", '{p}', '[{k}]', 'g')" for k, p in SQL_KEYS)
+    + " AS line FROM l WHERE " + " OR ".join(f"regexp_matches(line, '{p}')" for _, p in SQL_KEYS)
 )
 def redacted_lines(spark, sf_dir):
-    rows = lines(spark, sf_dir).filter(F.col("line").rlike(KEYS[0][1]) | F.col("line").rlike(KEYS[4][1]))
+    held = F.lit(False)
+    for _, p in KEYS:
+        held = held | F.col("line").rlike(p)
+    rows = lines(spark, sf_dir).filter(held)
     return rows.select("file", "line_no", review.redact(F.col("line")).alias("line"))

@@ -20,14 +20,28 @@ def replace_slices(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def publish(spark: SparkSession, root: str, df: DataFrame, generation: int) -> None:
-    """Write a generation in full, then point at it; readers see the old or the new one, never a part."""
+    """Write a generation in full, then point at it; readers see the old or the new one, never a part.
+
+    A pointer is an empty folder named by its turn and generation, made in one step and never changed.
+    """
     df.write.mode("overwrite").parquet(f"{root}/generation={generation}")
-    spark.range(1).select(F.lit(generation).cast("long").alias("active")).coalesce(1).write.mode("overwrite").parquet(f"{root}/_pointer")
+    turn = max((t for t, _ in pointers(spark, root)), default=0) + 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointers/{turn}-{generation}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def pointers(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """(turn, generation) of every publication, in order: a few for each retained generation."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(tuple(map(int, n.split("-"))) for n in names)
 
 
-def active(spark: SparkSession, root: str) -> DataFrame:
-    g = spark.read.parquet(f"{root}/_pointer").first().active
-    return spark.read.parquet(f"{root}/generation={g}")
+def active(spark: SparkSession, root: str, pinned: int | None = None) -> DataFrame:
+    """The generation published last, or the one that a reader has pinned."""
+    generation = pointers(spark, root)[-1][1] if pinned is None else pinned
+    return spark.read.parquet(f"{root}/generation={generation}")
 
 
 def visible(rows: DataFrame, generation: int, policy: str, key: str) -> DataFrame:
