@@ -33,19 +33,25 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
         return nodes.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     arcs = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")), "pr-arcs")
-    sinks = nodes.join(out.select(F.col("src").alias("node")), "node", "left_anti")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    held = nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left").select("node", F.coalesce("sink", F.lit(True)).alias("sink"))
+    ranks = cut(held.withColumn("rank", F.lit(1.0 / n)), "pr-ranks")
+    zero, spent = ranks.select("node", "sink", F.lit(0.0).alias("flow")), []
     for i in range(1, rounds + 1):
-        lost = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        flow = arcs.join(ranks, arcs["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        ranks = (
-            nodes.join(flow, nodes["node"] == flow["dst"], "left")
-            .crossJoin(F.broadcast(lost))  # one row
-            .select("node", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        )
-        if i % cut_every == 0 and i < rounds:
-            ranks = cut(ranks, "pr-ranks")
-    return ranks
+        # Each round has a join, an aggregation and one number; what sinks hold is spread over all nodes.
+        lost = ranks.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
+        flow = arcs.join(ranks, arcs["src"] == ranks["node"]).select(F.col("dst").alias("node"), F.lit(False).alias("sink"), (F.col("rank") * F.col("share")).alias("flow"))
+        total = zero.unionByName(flow).groupBy("node").agg(F.bool_or("sink").alias("sink"), F.sum("flow").alias("flow"))
+        ranks = total.select("node", "sink", ((1 - damping) / n + damping * (F.col("flow") + lost / n)).alias("rank"))
+        if i == rounds:
+            break
+        # Between cuts a lost executor costs the rounds since the last one.
+        spent.append(ranks)
+        ranks = cut(ranks, "pr-ranks") if i % cut_every == 0 else ranks.persist()
+        if i % cut_every == 0:
+            for old in spent:
+                old.unpersist()
+            spent = []
+    return ranks.select("node", "rank")
 
 
 def capped(edges: DataFrame, near: str, far: str, most: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlode.functions import text as tx
+from graphlode.lineage import cut
 
 K1, B = 1.2, 0.75
 RRF = 60.0
@@ -29,7 +30,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], mode: str =
     terms = list(dict.fromkeys(terms))
     counts = F.struct(F.size("tokens").alias("len"), *(F.size(F.filter("tokens", equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)))
     # As a generator's output, counts are made once a row; filters on them would otherwise tokenize again.
-    scanned = docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).select(key, F.inline(F.array(counts)))
+    scanned = cut(docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).select(key, F.inline(F.array(counts))), "term-counts")
     stats = scanned.filter("len > 0").agg(
         F.count("*").alias("n"),
         F.avg(F.col("len").cast("double")).alias("mean_len"),
