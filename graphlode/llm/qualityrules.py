@@ -122,10 +122,11 @@ def fences(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     packed = lambda level: F.when(F.col(f"{any_measure}_total") >= least_group, F.struct(*names)).alias(level)
     own = quartiles(sketch, "lang", "source").select("lang", "source", packed("own"))
     by_lang = quartiles(sketch, "lang").select(F.col("lang").alias("lang2"), packed("wider"))
-    overall = quartiles(sketch.withColumn("one", F.lit(1)), "one").select("one", F.struct(*names).alias("widest"))
+    overall = quartiles(sketch.withColumn("one", F.lit(1)), "one").first()  # one row, whatever the corpus
+    widest = F.struct(*(F.lit(overall[x] if overall else None).cast("double").alias(x) for x in names))
     # Groups that only failing documents are in have no sketch; their documents need no fences.
-    q = F.coalesce("own", "wider", "widest")
-    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang2")), "left").withColumn("one", F.lit(1)).join(overall, "one", "left").select("lang", "source", q.alias("q"), F.coalesce("wider", "widest").alias("w"))
+    q = F.coalesce("own", "wider", widest)
+    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang2")), "left").select("lang", "source", q.alias("q"), F.coalesce("wider", widest).alias("w"))
     out = [F.col("lang").alias("lang_"), F.col("source").alias("source_")]
     for m, (sides, least, share) in RULES.items():
         q1, q2, q3 = (F.col(f"q.{m}_{x}") for x in ("q1", "q2", "q3"))
@@ -152,7 +153,8 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """Measures and verdict for each document; the text is read once."""
     measured = stash(measure(docs), "quality-measures")
-    return judge(measured, stash(fences(sketches(measured), least_group), "quality-limits", few=True))
+    sketch = stash(sketches(measured), "quality-sketches", few=True)
+    return judge(measured, stash(fences(sketch, least_group), "quality-limits", few=True))
 
 
 def keep_good(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -160,5 +162,6 @@ def keep_good(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
 
     Texts are measured a second time beside their limits, so they are never shuffled.
     """
-    limits = stash(fences(sketches(measure(docs)), least_group), "quality-limits", few=True)
+    sketch = stash(sketches(measure(docs)), "quality-sketches", few=True)
+    limits = stash(fences(sketch, least_group), "quality-limits", few=True)
     return judge(measure(docs, carry=docs.columns), limits).filter("kept").select("row.*")
