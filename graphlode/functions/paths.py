@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extension and language (fixed values); all others are text.
+#: Extension and language (fixed values).
 LANGUAGES = {
     "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "go": "go", "java": "java",
     "cs": "csharp", "vb": "vbnet", "ml": "minilang", "mlinc": "minilang", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "c": "c",
@@ -14,6 +14,8 @@ LANGUAGES = {
     "config": "xml", "xml": "xml", "csproj": "xml", "vbproj": "xml", "rdlc": "xml", "rdl": "xml", "dbml": "xml", "edmx": "xml",
     "sql": "sql", "asp": "asp_classic",
 }
+#: Languages told apart beyond those.
+FURTHER = {"html": "html", "htm": "html", "css": "css", "sh": "shell", "ps1": "powershell", "toml": "toml", "rb": "ruby", "php": "php"}
 
 
 def normal_path(path: Column) -> Column:
@@ -25,7 +27,7 @@ def extension(path: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    lookup = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    lookup = F.create_map(*(F.lit(x) for pair in (LANGUAGES | FURTHER).items() for x in pair))
     return F.coalesce(F.element_at(lookup, extension(path)), F.lit("text"))
 
 
