@@ -59,11 +59,21 @@ def audit(lines: DataFrame, around: int = 5) -> DataFrame:
     return finding(seen.filter(F.col("line").rlike(MUTATION) & ~F.col("audited")), "audit", "warning", F.trim("line"))
 
 
-def repo_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Machine-checkable rules (``rule``, ``pattern``, ``scope``, ``severity``); rules are a small table of a project.
+def repo_rules(lines: DataFrame, rules: DataFrame, listed: int = 500) -> DataFrame:
+    """Machine-checkable rules (``rule``, ``pattern``, ``scope``, ``severity``).
 
-    Spark broadcasts the rules if their size allows.
+    Up to ``listed`` rules are tested on each line in one pass; more are joined, and Spark broadcasts them if their size allows.
     """
+    few = rules.select("rule", "pattern", "scope", "severity").limit(listed + 1).collect()
+    if 0 < len(few) <= listed:
+        each = [
+            F.when(F.contains(F.lower("file"), F.lit(r.scope.lower())) & F.col("line").rlike(r.pattern), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.rule).alias("detail")))
+            for r in few
+            if r.scope is not None and r.pattern is not None
+        ]
+        if each:
+            hits = lines.select("change", "file", "line_no", F.explode(F.array_compact(F.array(*each))).alias("hit"))
+            return hits.select(F.lit("repo_rule").alias("gate"), "change", "file", "line_no", "hit.severity", "hit.detail")
     hits = lines.join(rules, F.contains(F.lower("file"), F.lower("scope")) & F.expr("line rlike pattern"))
     return hits.select(F.lit("repo_rule").alias("gate"), "change", "file", "line_no", "severity", F.col("rule").alias("detail"))
 

@@ -147,7 +147,7 @@ def hybrid_boosted(spark, sf_dir):
 
 @query()
 def mmr_rerank(spark, sf_dir):
-    """Greedy diversification of the 50 nearest of each label's first vector."""
+    """Greedy diversification of the nearest vectors of the one query of ``knn_cosine``."""
     near = knn_cosine(spark, sf_dir)
     rows = near.join(table(spark, sf_dir, "embeddings"), "vec_id").select(F.lit(0).alias("query"), "vec_id", "score", "embedding")
     return retrieval.diversify(rows, "query", "vec_id", "score", "embedding", 10, 0.5).withColumn("score", F.round("score", 6))

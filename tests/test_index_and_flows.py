@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphlode.operators import flows, index, retrieval
+from graphlode.operators import flows, index, retrieval, review
 from graphlode.sources import tables
 
 DOCS = [(1, "alpha beta beta"), (2, "beta gamma"), (3, None), (4, ""), (5, "Délta béta \U0001f600xyz")]
@@ -64,3 +64,10 @@ def test_affinity_leaves_out_wide_methods(spark):
 def test_builtin_names(spark):
     names = spark.createDataFrame([("::CStr(x)",), ("My.IIf",), ("Other.Name",), (None,)], "name string")
     assert [r.b for r in names.select(flows.is_builtin(F.col("name")).alias("b")).collect()] == [True, True, False, None]
+
+
+def test_rules_in_one_pass_and_by_join(spark):
+    lines = spark.createDataFrame([(1, "src/A.vb", 1, "Dim x = Eval(y)"), (1, "src/B.cs", 2, "eval(z)"), (2, "doc.md", 1, None)], "change long, file string, line_no long, line string")
+    rules = spark.createDataFrame([("no eval", "(?i)eval\\(", "", "critical"), ("vb only", "Dim", ".VB", "warning"), ("broken", None, "", "warning")], "rule string, pattern string, scope string, severity string")
+    one, joined = (sorted(map(tuple, review.repo_rules(lines, rules, listed=n).collect())) for n in (500, 0))
+    assert one == joined and len(one) == 3
