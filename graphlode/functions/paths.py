@@ -50,6 +50,12 @@ def is_generated(path: Column) -> Column:
     return F.lower(path).rlike(r"\.designer\.[a-z]+$|\.g\.[a-z]+$|\.generated\.[a-z]+$|(^|/)(obj|bin|dist|generated)/")
 
 
+def has_generated_header(content: Column, lines: int = 20) -> Column:
+    """Whether one of the first lines says that a program wrote the file."""
+    head = F.lower(F.substring_index(content, "\n", lines))
+    return head.rlike("<auto-generated|this code was generated|do not edit")
+
+
 def glob_to_regex(glob: str) -> str:
     """A regular expression for a glob; ``**`` crosses folders, ``*`` and ``?`` do not, slashes of both kinds are one."""
     out, i = "", 0

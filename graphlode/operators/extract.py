@@ -15,6 +15,11 @@ def all_of(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def named(text: Column, kind: str, pattern: str) -> Column:
+    """Every match's first group as (``kind``, ``name``)."""
+    return F.transform(all_of(text, pattern, 1), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("name")))
+
+
 def inventory(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Counts of links, scripts, forms, inputs, images and headings, and the title."""
     h = F.col(html)
@@ -104,17 +109,16 @@ DIAGNOSTICS = {
     "javascript": [("eval", r"\beval\s*\("), ("loose_equality", r"[^=!]==[^=]"), ("inner_html", r"\.innerHTML\s*=")],
 }
 STATE = r"""(?i)\b(session|viewstate|application|cache)\s*[\(\[]\s*"([^"]+)"\s*[\)\]](\s*=[^=])?"""
+COOKIE = r"""(?i)\b(request|response)\s*\.\s*cookies\s*[\(\[]\s*"([^"]+)"\s*[\)\]]"""
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """``path``, ``kind``, ``name`` from files (``path``, ``language``, ``content``)."""
-    out = None
+    """``path``, ``kind``, ``name`` from files (``path``, ``language``, ``content``): one scan, each file by its language's rules only."""
+    found = F.lit(None).cast("array<struct<kind:string,name:string>>")
     for language, rules in DECLARATIONS.items():
-        own = files.filter(F.col("language") == language)
-        for kind, pattern in rules:
-            part = own.select("path", F.lit(kind).alias("kind"), F.explode(all_of(F.col("content"), pattern, 1)).alias("name"))
-            out = part if out is None else out.unionByName(part)
-    return out
+        own = F.concat(*(named(F.col("content"), k, p) for k, p in rules))
+        found = F.when(F.col("language") == language, own).otherwise(found)
+    return files.select("path", F.inline(found))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -133,9 +137,10 @@ def diagnostics(files: DataFrame) -> DataFrame:
 
 
 def state_accesses(files: DataFrame) -> DataFrame:
-    """``path``, ``store``, ``state``, ``access`` (read or write)."""
+    """``path``, ``store``, ``state``, ``access`` (read or write); a request's cookies are read, a response's are written."""
     hits = F.transform(all_of(F.col("content"), STATE, 0), lambda m: F.struct(F.lower(F.regexp_extract(m, STATE, 1)).alias("store"), F.regexp_extract(m, STATE, 2).alias("state"), F.when(F.regexp_extract(m, STATE, 3) != "", "write").otherwise("read").alias("access")))
-    return files.select("path", F.inline(hits)).distinct()
+    cookies = F.transform(all_of(F.col("content"), COOKIE, 0), lambda m: F.struct(F.lit("cookie").alias("store"), F.regexp_extract(m, COOKIE, 2).alias("state"), F.when(F.lower(F.regexp_extract(m, COOKIE, 1)) == "response", "write").otherwise("read").alias("access")))
+    return files.select("path", F.inline(F.concat(hits, cookies))).distinct()
 
 
 def sql_tables(statements: DataFrame, key: str, sql: str) -> DataFrame:

@@ -206,6 +206,20 @@ def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return agg.withColumn("cohesion", F.col("internal") / F.nullif(F.col("internal") + F.col("external"), F.lit(0)))
 
 
+def at_places(nodes: DataFrame, places: list[int]) -> list:
+    """The nodes at some places (from 0) of their order: one sort by ranges, and places counted inside each range."""
+    dealt = cut(nodes.select("node").repartitionByRange("node").withColumn("part", F.spark_partition_id()), "places")
+    asked, before = [], 0
+    for part, n in sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row per range
+        asked += [(part, p - before) for p in places if before <= p < before + n]
+        before += n
+    if not asked:
+        return []
+    want = F.broadcast(nodes.sparkSession.createDataFrame(asked, "part int, turn int"))  # as many rows as places
+    turn = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1
+    return sorted(r.node for r in dealt.withColumn("turn", turn).join(want, ["part", "turn"]).select("node").collect())
+
+
 def betweenness(edges: DataFrame, pivots: int = 16, most_depth: int = 64) -> DataFrame:
     """Approximate betweenness from evenly spaced pivots (unweighted Brandes), scaled by n / pivots.
 
@@ -217,9 +231,7 @@ def betweenness(edges: DataFrame, pivots: int = 16, most_depth: int = 64) -> Dat
     k = min(pivots, n)
     if not k:
         return numbered.withColumn("score", F.lit(0.0))
-    places = [i * n // k for i in range(k)]
-    order = numbered.orderBy("node").offset
-    picked = [order(p).limit(1).first().node for p in places]
+    picked = at_places(numbered, [i * n // k for i in range(k)])
     spark = edges.sparkSession
     start = spark.createDataFrame([(p,) for p in picked], numbered.schema).select(F.col("node").alias("pivot"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
     seen, level = cut(start, "bc-seen"), 0

@@ -133,3 +133,30 @@ def corroboration(text: Column, terms: Sequence[str]) -> Column:
     n = len(terms)
     present = F.size(F.array_intersect(tx.words(text), F.array(*(F.lit(t) for t in terms))))
     return F.when(present > 0, (present - 1) / float(max(1, n - 1))).otherwise(0.0)
+
+
+#: Words of a story that name no concept (fixed values).
+STORY_WORDS = {"about", "able", "admin", "also", "because", "could", "each", "every", "from", "have", "into", "like", "must", "need", "number", "only", "should", "that", "their", "them", "then", "there", "these", "this", "user", "want", "when", "where", "which", "with", "would"}
+
+
+def story_concepts(story: str, most: int = 3) -> list[str]:
+    """The first words of a story that may name a concept: four letters or more, each once."""
+    return list(dict.fromkeys(w for w in re.findall(r"[^\W\d_]{4,}", story.lower()) if w not in STORY_WORDS))[:most]
+
+
+def story_plan(items: DataFrame, concepts: list[str], item: str, group: str, name: str, pairs: DataFrame, per_group: int = 5, least: int = 1) -> DataFrame:
+    """What a story touches: each concept's footprint, then items coupled to it (``file_a``, ``file_b``, ``weight``) that no concept names.
+
+    ``arm`` (a concept, or ``coupled``), ``item`` and ``score`` (the fit, or the summed weight).
+    """
+    named = None
+    for c in concepts:
+        part = footprint(items, c, item, group, name, per_group).select(F.lit(c).alias("arm"), F.col(item).alias("item"), F.col("fit").cast("double").alias("score"))
+        named = part if named is None else named.unionByName(part)
+    if named is None:
+        return items.select(F.lit("").alias("arm"), F.col(item).alias("item"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    seeds = named.select("item").distinct()
+    both = pairs.select("file_a", "file_b", "weight").unionByName(pairs.select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b"), "weight"))
+    near = both.join(seeds.toDF("file_a"), "file_a", "left_semi").join(seeds.toDF("file_b"), "file_b", "left_anti")
+    coupled = near.groupBy(F.col("file_b").alias("item")).agg(F.sum("weight").cast("double").alias("score")).filter(F.col("score") >= least)
+    return named.unionByName(coupled.select(F.lit("coupled").alias("arm"), "item", "score"))

@@ -6,6 +6,7 @@ postings are exploded or shuffled, and document frequencies are one small row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -52,6 +53,69 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], mode: str =
     return scanned.filter(wanted).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats: one row
 
 
+def literal_search(docs: DataFrame, key: str, text: str, query: str, mode: str = "loose", part_weight: float = 0.1, least: int = 4) -> DataFrame:
+    """``key`` and ``score`` by words and, at a tenth of the weight, by parts of words.
+
+    Each word of the query is met as a word (a run of letters and digits, any case) or,
+    if its core has ``least`` characters, as a substring (with case).  ``loose`` takes
+    any word, ``strict`` all of them; ``regex`` takes substrings alone, of three
+    characters or more, and all of them.  A substring counts as a phrase of its
+    trigrams: its weight is the sum of theirs.  A query without words finds nothing.
+    """
+    asked = []
+    for word in query.split():
+        runs = [] if mode == "regex" else re.findall(r"[^\W_]+", word.lower())
+        core = word if mode == "regex" else re.sub(r"^[\W_]+|[\W_]+$", "", word)
+        core = core if len(core) >= (3 if mode == "regex" else least) else ""
+        if runs or core:
+            asked.append((runs, core))
+    if not asked:
+        return docs.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
+    terms = sorted({r for runs, _ in asked for r in runs})
+    grams = sorted({core[i : i + 3] for _, core in asked for i in range(len(core) - 2)})
+
+    def met(runs):  # how often the runs follow each other
+        if len(runs) == 1:
+            return F.size(F.filter("tokens", equals(runs[0])))
+        run, n = F.array(*(F.lit(r) for r in runs)), len(runs)
+        starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(1)))
+        return F.size(F.filter(starts, lambda i: F.slice("tokens", i, F.lit(n)) == run))
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    counts = [F.size("tokens").alias("words"), F.greatest(F.char_length("body") - 2, F.lit(0)).alias("grams")]
+    counts += [F.array_contains("tokens", t).cast("int").alias(f"t{i}") for i, t in enumerate(terms)]
+    counts += [F.contains("body", F.lit(g)).cast("int").alias(f"g{i}") for i, g in enumerate(grams)]
+    for i, (runs, core) in enumerate(asked):
+        counts.append((met(runs) if runs else F.lit(0)).alias(f"w{i}"))
+        counts.append((F.size(F.regexp_extract_all("body", F.lit(f"(?=({re.escape(core)}))"), F.lit(1))) if core else F.lit(0)).alias(f"s{i}"))
+    held = docs.select(F.col(key), body.alias("body"), tx.words(body).alias("tokens"))
+    scanned = cut(held.select(key, F.inline(F.array(F.struct(*counts)))), "literal-counts")
+    stats = scanned.agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("words").cast("double")).alias("mean_words"),
+        F.avg(F.col("grams").cast("double")).alias("mean_grams"),
+        *(F.sum(f"t{i}").alias(f"dt{i}") for i in range(len(terms))),
+        *(F.sum(f"g{i}").alias(f"dg{i}") for i in range(len(grams))),
+    )
+
+    def weight(tf, dfs, length, mean):
+        idf = F.lit(0.0)
+        for df in dfs:
+            idf = idf + F.log(1 + (F.col("n") - F.col(df) + 0.5) / (F.col(df) + 0.5))
+        return F.when(F.col(tf) > 0, idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col(mean)))).otherwise(0.0)
+
+    score, wanted = F.lit(0.0), F.lit(mode != "loose")
+    for i, (runs, core) in enumerate(asked):
+        if runs:
+            score = score + weight(f"w{i}", [f"dt{terms.index(r)}" for r in runs], "words", "mean_words")
+        if core:
+            parts = [f"dg{grams.index(core[j : j + 3])}" for j in range(len(core) - 2)]
+            score = score + (1.0 if mode == "regex" else part_weight) * weight(f"s{i}", parts, "grams", "mean_grams")
+        hit = (F.col(f"w{i}") > 0) | (F.col(f"s{i}") > 0)
+        wanted = wanted | hit if mode == "loose" else wanted & hit
+    return scanned.crossJoin(F.broadcast(stats)).filter(wanted).select(key, score.alias("score"))  # stats: one row
+
+
 def top(hits: DataFrame, score: str, keys: Sequence[str], k: int, offset: int = 0) -> DataFrame:
     """The best k, ties by key; a total order, so paging is stable."""
     return hits.orderBy(F.desc(score), *(F.asc(x) for x in keys)).offset(offset).limit(k)

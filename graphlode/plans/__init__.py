@@ -22,4 +22,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load_all() -> None:
-    from graphlode.plans import events, gates, graph, history, links, planning, relational, retrieval, review, scoring  # noqa: F401
+    from graphlode.plans import events, gates, graph, history, legacy, links, planning, relational, retrieval, review, scoring  # noqa: F401

@@ -29,6 +29,26 @@ def rules_from_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, rule.alias("rule"), severity.alias("severity"), F.left(F.sha2(F.lower(rule), 256), F.lit(16)).alias("rule_id"))
 
 
+def findings_from_export(exports: DataFrame, text: str) -> DataFrame:
+    """Issues of analysers' exports (JSON with a list ``issues``): ``finding_id``, ``rule``, ``severity``, ``file``, ``line``, ``message``.
+
+    A component's project prefix goes; equal findings are one row; text that is no such JSON has none.
+    """
+    schema = "struct<issues:array<struct<rule:string,severity:string,component:string,line:long,message:string>>>"
+    rows = exports.select(F.explode(F.from_json(text, schema)["issues"]).alias("i")).filter("i.message IS NOT NULL")
+    file = F.nullif(F.regexp_replace("i.component", r"^[^:]*:", ""), F.lit(""))
+    rows = rows.select("i.rule", F.lower("i.severity").alias("severity"), file.alias("file"), "i.line", "i.message").distinct()
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rule", "file", "line", "message"))
+    return rows.select(F.left(F.sha2(F.concat_ws("\u0000", *parts), 256), F.lit(16)).alias("finding_id"), "rule", "severity", "file", "line", "message")
+
+
+def promoted_rules(findings: DataFrame) -> DataFrame:
+    """Grave findings with a file as repository rules: one a message and folder, whole messages, with how often it was found."""
+    grave = findings.filter(F.col("severity").isin("blocker", "critical", "high") & F.col("file").isNotNull())
+    scope = F.regexp_extract("file", r"^(.*/)[^/]*$", 1)
+    return grave.groupBy(F.col("message").alias("rule"), scope.alias("scope")).agg(F.count("*").alias("findings"), F.min("file").alias("first_file"))
+
+
 def verdicts(threads: DataFrame) -> DataFrame:
     """Review threads (``thread``, ``comments`` as JSON) to a verdict from the last answer."""
     schema = "array<struct<author:string,body:string,at:long>>"
