@@ -67,6 +67,7 @@ class GitSource(DataSource):
         return GitReader(self.options)
 
 
+#: What ends a patch that was cut (fixed value).
 TRUNCATED = "\n[diff truncated]\n"
 
 
