@@ -148,6 +148,17 @@ def count_words(encoded: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     return counted, tokens, distinct
 
 
+def take(counts: np.ndarray, classes: np.ndarray, ids: np.ndarray, c: np.ndarray, cls: np.ndarray) -> None:
+    """Note counts and classes of a block's words.
+
+    A word of no training document of its block has a row that says so, and one more if other
+    blocks know it: the known one wins, whichever comes first, and also when both are in one part.
+    """
+    np.maximum.at(counts, ids, c)
+    for on in (counts[ids] == 0, c > 0):
+        classes[ids[on]] = cls[on]
+
+
 def resolve(encoded: DataFrame, counted: DataFrame, tokens: np.ndarray, distinct: np.ndarray) -> DataFrame:
     """Per document its counts, its unigram score, log10 of P(word | class) in all (``inner``), and its classes."""
     spark = encoded.sparkSession
@@ -184,9 +195,7 @@ def resolve(encoded: DataFrame, counted: DataFrame, tokens: np.ndarray, distinct
                     ids, c, cls = (part.column(i).to_numpy() for i in (4, 5, 6))
                     if ids.max() >= len(counts):
                         counts, classes = grown(counts, int(ids.max()) + 1), grown(classes, int(ids.max()) + 1)
-                    # A word is unknown to its block or to the corpus: what is known wins, whichever row comes first.
-                    counts[ids] = np.maximum(counts[ids], c)
-                    classes[ids] = np.where((c > 0) | (counts[ids] == 0), cls, classes[ids])
+                    take(counts, classes, ids, c, cls)
                     continue
                 rows = []
                 for x in part.column(3).to_pylist():
