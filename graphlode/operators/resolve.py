@@ -72,6 +72,19 @@ def innermost(pairs: DataFrame, key: str, start: str, end: str, tie: str) -> Dat
     return pairs.withColumn("turn", F.row_number().over(w)).filter("turn = 1").drop("turn")
 
 
+def innermost_at(points: DataFrame, ranges: DataFrame, on: str, at: str, span: tuple[str, str], tie: str, width: int) -> DataFrame:
+    """For each distinct point (``on``, ``at``) the shortest range around it: ``tie`` and its ``size``.
+
+    Equal points and equal ranges meet once, so repeated hits do not multiply the pairs.
+    """
+    start, end = span
+    asked = points.select(on, at).distinct().withColumn("upto_", F.col(at))
+    held = ranges.groupBy(on, start, end).agg(F.min(tie).alias(tie))
+    size = (F.col(end) - F.col(start)).alias("size")
+    best = overlap_join(asked, held, on, (at, "upto_"), span, width).groupBy(on, at).agg(F.min(F.struct(size, F.col(tie))).alias("best_"))
+    return best.select(on, at, f"best_.{tie}", "best_.size")
+
+
 def base_name(path: Column) -> Column:
     return F.lower(F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1))
 

@@ -141,8 +141,9 @@ def hit_symbol_range_join(spark, sf_dir):
 
 @query(f"WITH {RANGES} SELECT hit, symbol FROM (SELECT hit, symbol, row_number() OVER (PARTITION BY hit ORDER BY fe - fs, symbol) AS t FROM a JOIN b ON a.path = b.path AND s BETWEEN fs AND fe) WHERE t = 1")
 def innermost_function(spark, sf_dir):
-    points = hits(spark, sf_dir).withColumn("e", F.col("s"))
-    return resolve.innermost(resolve.overlap_join(points, symbols(spark, sf_dir), "path", ("s", "e"), ("fs", "fe"), 32), "hit", "fs", "fe", "symbol").select("hit", "symbol")
+    points = hits(spark, sf_dir).select("hit", "path", "s")
+    best = resolve.innermost_at(points, symbols(spark, sf_dir), "path", "s", ("fs", "fe"), "symbol", 32)
+    return points.join(best, ["path", "s"]).groupBy("hit").agg(F.min_by("symbol", F.struct("size", "symbol")).alias("symbol"))
 
 
 @query(
