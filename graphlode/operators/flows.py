@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlode.functions import text as tx
+from graphlode.operators.resolve import innermost_at
 from graphlode.lineage import cut
 
 #: Names that a language defines itself (fixed values): calls to them are no references.
@@ -62,9 +63,11 @@ def runtime_nodes(rows: DataFrame, functions: DataFrame) -> DataFrame:
 
     By name in the file if that is one node, else by the innermost range around the line; ``how`` says which.
     """
-    by_name = rows.join(functions.select("node", "file", F.col("name").alias("function")), ["file", "function"]).groupBy("event").agg(F.min("node").alias("named"), F.count("*").alias("n")).filter("n = 1").select("event", "named")
-    around = rows.join(functions.select("node", F.col("file").alias("f"), "first_line", "last_line"), (F.col("file") == F.col("f")) & F.col("line").between(F.col("first_line"), F.col("last_line")))
-    inner = around.groupBy("event").agg(F.min_by("node", F.struct(F.col("last_line") - F.col("first_line"), "node")).alias("inner"))
+    # Functions are counted by name first, and lines looked up once each, so no row meets all functions of its file.
+    names = functions.groupBy("file", F.col("name").alias("function")).agg(F.min("node").alias("named"), F.count("*").alias("n"))
+    by_name = rows.join(names, ["file", "function"]).groupBy("event").agg(F.min("named").alias("named"), F.sum("n").alias("n")).filter("n = 1").select("event", "named")
+    best = innermost_at(rows, functions, "file", "line", ("first_line", "last_line"), "node", 32)
+    inner = rows.join(best, ["file", "line"]).groupBy("event").agg(F.min_by("node", F.struct("size", "node")).alias("inner"))
     out = rows.select("event").distinct().join(by_name, "event", "left").join(inner, "event", "left")
     how = F.when(F.col("named").isNotNull(), "name").when(F.col("inner").isNotNull(), "line").otherwise("none")
     return out.select("event", F.coalesce("named", "inner").alias("node"), how.alias("how"))

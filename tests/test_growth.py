@@ -37,3 +37,9 @@ def test_innermost_function_looks_a_point_up_once(spark, tmp_path):
     at = folder(spark, tmp_path, lineitem={"l_orderkey": "{i} * 50", "l_partkey": "{i} * 997", "l_linenumber": "1"}, part={"p_partkey": "{i} * 49850", "p_size": "5 + {i} % 2"})
     most, rows = widest(plans.QUERIES["innermost_function"](spark, at))
     assert most <= 4 * N and len(rows) == N and {r.symbol for r in rows} == {2 * 49850}
+
+
+def test_runtime_rows_do_not_meet_all_functions_of_a_file(spark, tmp_path):
+    at = folder(spark, tmp_path, events={"event_id": "{i} * 2000", "user_id": "{i} * 20", "event_type": "'error'"}, part={"p_partkey": "{i} * 2800", "p_size": "5"})
+    most, rows = widest(plans.QUERIES["runtime_to_node"](spark, at))
+    assert most <= 4 * N and {tuple(r)[1:] for r in rows} == {(2800, "line")} and len(rows) == N
