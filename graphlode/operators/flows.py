@@ -92,10 +92,13 @@ def signature_types(parameters: DataFrame, types: DataFrame) -> DataFrame:
 
     A type of the same file wins; else the only one of that name; else none.
     """
-    named = parameters.select("method", "file", F.lower(tx.last_segment(F.regexp_replace("type", r"\(Of .*\)|<.*>|\[\]|\(\)|\?", ""))).alias("key"))
+    named = parameters.select("method", "file", F.lower(tx.last_segment(F.regexp_replace("type", r"\(Of .*\)|<.*>|\[\]|\(\)|\?", ""))).alias("key")).distinct()
     known = types.select(F.lower("name").alias("key"), "node", F.col("file").alias("at"))
-    rows = named.join(known, "key", "left").groupBy("method", "file", "key").agg(F.min(F.when(F.col("at") == F.col("file"), F.col("node"))).alias("near"), F.count("node").alias("n"), F.min("node").alias("any"))
-    return rows.select("method", F.col("key").alias("type"), F.coalesce("near", F.when(F.col("n") == 1, F.col("any"))).alias("node"))
+    # A name is settled once for each file, from counts of its types, so no method meets all types of a name.
+    anywhere = known.groupBy("key").agg(F.count("node").alias("n"), F.min("node").alias("any"))
+    near = known.groupBy("key", F.col("at").alias("file")).agg(F.min("node").alias("near"))
+    settled = named.select("key", "file").distinct().join(anywhere, "key").join(near, ["key", "file"], "left").select("key", "file", F.coalesce("near", F.when(F.col("n") == 1, F.col("any"))).alias("node"))
+    return named.join(settled, ["key", "file"], "left").select("method", F.col("key").alias("type"), "node")
 
 
 def global_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:

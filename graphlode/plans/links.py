@@ -236,7 +236,7 @@ def field_binding(spark, sf_dir):
  j AS (SELECT method, p.file, p.type, min(node) FILTER (t.file = p.file) AS near, count(node) AS n, min(node) AS any_node FROM p LEFT JOIN t ON t.name = p.type GROUP BY 1, 2, 3) SELECT method, type, coalesce(near, CASE WHEN n = 1 THEN any_node END) AS node FROM j"""
 )
 def signature_types(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("method"), (F.col("l_suppkey") % 10).alias("file"), F.concat(F.lit("My.T"), s(F.col("l_partkey") % 60), F.lit("(Of String)")).alias("type")).distinct()
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("method"), (F.col("l_suppkey") % 10).alias("file"), F.concat(F.lit("My.T"), s(F.col("l_partkey") % 60), F.lit("(Of String)")).alias("type"))
     t = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"), F.concat(F.lit("T"), s(F.col("p_partkey") % 97)).alias("name"), (F.col("p_partkey") % 10).alias("file"))
     return flows.signature_types(p, t)
 

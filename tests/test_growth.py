@@ -43,3 +43,9 @@ def test_runtime_rows_do_not_meet_all_functions_of_a_file(spark, tmp_path):
     at = folder(spark, tmp_path, events={"event_id": "{i} * 2000", "user_id": "{i} * 20", "event_type": "'error'"}, part={"p_partkey": "{i} * 2800", "p_size": "5"})
     most, rows = widest(plans.QUERIES["runtime_to_node"](spark, at))
     assert most <= 4 * N and {tuple(r)[1:] for r in rows} == {(2800, "line")} and len(rows) == N
+
+
+def test_methods_do_not_meet_all_types_of_a_name(spark, tmp_path):
+    at = folder(spark, tmp_path, lineitem={"l_orderkey": "{i}", "l_suppkey": "{i} * 10 + 1", "l_partkey": "{i} * 60"}, part={"p_partkey": "{i} * 2910"})
+    most, rows = widest(plans.QUERIES["signature_types"](spark, at))
+    assert most <= 4 * N and {tuple(r)[1:] for r in rows} == {("t0", None)} and len(rows) == N
