@@ -106,9 +106,16 @@ def global_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
     By full name, or by its last segment, where one function alone takes so many arguments.
     """
-    rows = calls.join(functions.select("node", F.lower(tx.last_segment(F.col("name"))).alias("tail"), F.lower("name").alias("full"), "least", "most"), F.lower(tx.last_segment(F.col("name"))) == F.col("tail"))
-    fits = rows.filter(F.col("arguments").between(F.col("least"), F.col("most")) & ((F.lower("name") == F.col("full")) | ~F.contains("name", F.lit("."))))
-    return fits.groupBy("call").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").select("call", "node")
+    # A name with its number of arguments is looked up once, among counts of functions: calls never meet functions.
+    dotted = F.contains("name", F.lit("."))
+    keyed = calls.select("call", F.lower(F.when(dotted, F.col("name")).otherwise(tx.last_segment(F.col("name")))).alias("key"), dotted.alias("dotted"), "arguments")
+    full, tail = F.lower("name"), F.lower(tx.last_segment(F.col("name")))
+    known = functions.select(full.alias("key"), F.lit(True).alias("dotted"), "node", "least", "most").unionByName(functions.select(tail.alias("key"), F.lit(False).alias("dotted"), "node", "least", "most"))
+    known = known.groupBy("key", "dotted", "least", "most").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    asked = keyed.select("key", "dotted", "arguments").distinct().join(known, ["key", "dotted"]).filter(F.col("arguments").between(F.col("least"), F.col("most")))
+    fits = asked.groupBy("key", "dotted", "arguments").agg(F.sum("n").alias("n"), F.min("node").alias("node"))
+    found = keyed.join(fits, ["key", "dotted", "arguments"])
+    return found.groupBy("call").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").select("call", "node")
 
 
 def component_members(contains: DataFrame, files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import migration
+from graphlode.operators import flows, migration
 
 plans.load_all()
 N = 600
@@ -56,3 +56,15 @@ def test_trails_hold_four_digits_as_the_sql_does(spark):
     arcs = spark.createDataFrame([("r", "a", 12345), ("r", "b", 7)], "src string, dst string, position long")
     out = migration.blueprint(arcs, spark.createDataFrame([("r",)], "node string"))
     assert {r.trail for r in out.collect()} == {"r", "r/1234:a", "r/0007:b"}
+
+
+def test_calls_do_not_meet_all_functions_of_a_name(spark, tmp_path):
+    at = folder(spark, tmp_path, orders={"o_orderkey": "{i} * 4 + 1", "o_custkey": "{i} * 80"}, supplier={"s_suppkey": "{i} * 180"})
+    most, rows = widest(plans.QUERIES["global_functions"](spark, at))
+    assert most <= 4 * N and not rows
+
+
+def test_global_calls_by_full_name_or_last_segment(spark):
+    calls = spark.createDataFrame([(1, "app.G", 1), (2, "G", 1), (3, "g", 5), (4, "x::H", 0), (5, "b.g", 3)], "call long, name string, arguments long")
+    functions = spark.createDataFrame([(10, "App.g", 0, 2), (11, "b.G", 3, 9), (12, "App.h", 0, 0)], "node long, name string, least long, most long")
+    assert {tuple(r) for r in flows.global_calls(calls, functions).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 11)}
