@@ -243,11 +243,8 @@ SELECT query, rank, score FROM r WHERE rank <= 10"""
 def vector_search_batch(spark, sf_dir):
     """A stated list of queries against all vectors, in one pass."""
     e = table(spark, sf_dir, "embeddings")
-    queries = [(r.vec_id, list(r.embedding)) for r in e.filter("vec_id % 50 = 0").toLocalIterator()]
-    out = None
-    for at in range(0, len(queries), 4096):  # a block of queries goes to each task
-        part = embed.nearest(e, "vec_id", "embedding", queries[at : at + 4096], 10)
-        out = part if out is None else out.unionByName(part)
+    queries = embed.query_set(e.filter("vec_id % 50 = 0"), "vec_id", "embedding")
+    out = embed.nearest(e, "vec_id", "embedding", queries, 10, digits=6)
     return out.select("query", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 

@@ -1,9 +1,10 @@
 """Steps must not multiply rows that share a key: the widest operator of a plan stays near the input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import flows, migration
+from graphlode.operators import embed, flows, migration
 
 plans.load_all()
 N = 600
@@ -68,3 +69,30 @@ def test_global_calls_by_full_name_or_last_segment(spark):
     calls = spark.createDataFrame([(1, "app.G", 1), (2, "G", 1), (3, "g", 5), (4, "x::H", 0), (5, "b.g", 3)], "call long, name string, arguments long")
     functions = spark.createDataFrame([(10, "App.g", 0, 2), (11, "b.G", 3, 9), (12, "App.h", 0, 0)], "node long, name string, least long, most long")
     assert {tuple(r) for r in flows.global_calls(calls, functions).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 11)}
+
+
+def test_nearest_holds_few_scores_at_a_time(spark):
+    """The best of many batches, with ties, beside a matrix of all scores; no scores of all queries at once."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (1500, 4)).astype(float)
+    ids = np.arange(0, 1500, 5)
+    queries, shapes = (ids, v[ids]), []
+    best = [embed.Best(ids[at : at + 256], 7, 6, True) for at in (0, 256)]
+    for at in range(0, 1500, 100):
+        for b, lo in zip(best, (0, 256)):
+            b.take(embed.unit(v[ids])[lo : lo + 256] @ embed.unit(v[at : at + 100]).T, np.arange(at, min(at + 100, 1500)))
+            shapes.append(len(b.row))
+    assert max(shapes) <= 256 * 7
+    s = np.round(embed.unit(v[ids]) @ embed.unit(v).T, 6)
+    want = {}
+    for i, q in enumerate(ids):
+        order = [x for x in np.lexsort((np.arange(1500), -s[i])) if x != q][:7]
+        want[int(q)] = [(int(x), s[i, x]) for x in order]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {}
+    for r in embed.nearest(vectors, "id", "v", queries, 7, 6, others=True).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.id, r.score))
+    assert got == want
+    for b in best:
+        for q, k, x in zip(b.ids[b.row], b.key, b.score):
+            assert (int(k), x) in want[int(q)]
