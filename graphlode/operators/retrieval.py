@@ -249,26 +249,28 @@ def rank_quality(results: DataFrame, relevant: DataFrame, query: str, item: str,
     Graded relevance is n - position + 1; an empty list of relevant items has NDCG 0 and recall 1.
     """
     n = relevant.groupBy(query).agg(F.count("*").alias("n"))
-    graded = relevant.join(n, query).withColumn("grade", F.col("n") - F.col("position") + 1)
+    kept = results.filter(F.col("rank") <= k).join(relevant.select(query, item, "position"), [query, item], "left")
+    return quality_of_hits(kept, n, query)
+
+
+def quality_of_hits(hits: DataFrame, n: DataFrame, query: str) -> DataFrame:
+    """As ``rank_quality``, from the shown results (query, rank, position among the relevant or null) and how many are relevant (query, n)."""
     log2 = lambda c: F.log(c) / F.log(F.lit(2.0))
-    kept = results.filter(F.col("rank") <= k)
-    hits = kept.join(graded.select(query, item, "grade"), [query, item], "left")
-    got = hits.groupBy(query).agg(
+    graded = hits.join(n, query, "left").withColumn("grade", F.col("n") - F.col("position") + 1)
+    got = graded.groupBy(query).agg(
         F.sum(F.coalesce(F.col("grade") / log2(F.col("rank") + 1), F.lit(0.0))).alias("dcg"),
         F.count("grade").alias("found"),
         F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first"),
         F.count("*").alias("shown"),
+        F.first("n").alias("n"),
     )
-    ideal = graded.join(got.select(query, "shown"), query).filter(F.col("position") <= F.col("shown")).groupBy(query).agg(F.sum(F.col("grade") / log2(F.col("position") + 1)).alias("idcg"))
-    return (
-        got.join(ideal, query, "left")
-        .join(n, query, "left")
-        .select(
-            query,
-            F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"),
-            F.when(F.col("n").isNull(), 1.0).otherwise(F.col("found") / F.col("n")).alias("recall"),
-            F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
-        )
+    # The ideal list has the relevant ones in order, as many as are shown.
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("shown", "n")), F.lit(0.0), lambda a, p: a + (F.col("n") - p + 1) / log2(p + 1))
+    return got.select(
+        query,
+        F.coalesce(F.col("dcg") / F.when(F.col("n") > 0, ideal), F.lit(0.0)).alias("ndcg"),
+        F.when(F.coalesce("n", F.lit(0)) == 0, 1.0).otherwise(F.col("found") / F.col("n")).alias("recall"),
+        F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
     )
 
 

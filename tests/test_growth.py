@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from graphlode import plans
 from graphlode.operators import embed, flows, migration
 
+from oracle import differences
+
 plans.load_all()
 N = 600
 
@@ -96,3 +98,10 @@ def test_nearest_holds_few_scores_at_a_time(spark):
     for b in best:
         for q, k, x in zip(b.ids[b.row], b.key, b.score):
             assert (int(k), x) in want[int(q)]
+
+
+def test_search_quality_takes_no_pairs_of_rows(spark, tmp_path):
+    at = folder(spark, tmp_path, embeddings={"vec_id": "{i}", "label": "CAST({i} % 3 AS INT)", "embedding": "array(CAST(sin({i}) AS FLOAT), CAST(cos({i}) AS FLOAT), 0.5F)"})
+    most, rows = widest(plans.QUERIES["ndcg_recall_mrr"](spark, at))
+    assert most <= 4 * N and len(rows) == N // 50
+    assert not differences(spark, at, plans.QUERIES["ndcg_recall_mrr"], plans.ORACLES["ndcg_recall_mrr"])[0]
