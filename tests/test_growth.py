@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import embed, flows, migration
+from graphlode.operators import embed, flows, graph, migration, temporal
 
 from oracle import differences
 
@@ -105,3 +105,11 @@ def test_search_quality_takes_no_pairs_of_rows(spark, tmp_path):
     most, rows = widest(plans.QUERIES["ndcg_recall_mrr"](spark, at))
     assert most <= 4 * N and len(rows) == N // 50
     assert not differences(spark, at, plans.QUERIES["ndcg_recall_mrr"], plans.ORACLES["ndcg_recall_mrr"])[0]
+
+
+def test_tasks_of_a_history_grow_with_it(spark):
+    """Partitions joined to the number of cores would each hold a share of the whole history."""
+    rows = spark.range(500_000).select((F.col("id") % 100_000).alias("change"), (F.col("id") % 977).alias("file"))
+    held = temporal.change_files(rows, "change", "file")
+    assert held.rdd.getNumPartitions() > 4 and temporal.cochanges(held).rdd.getNumPartitions() > 4
+    assert graph.oriented(rows.toDF("src", "dst"), "both").rdd.getNumPartitions() > 4
