@@ -113,3 +113,28 @@ def test_tasks_of_a_history_grow_with_it(spark):
     held = temporal.change_files(rows, "change", "file")
     assert held.rdd.getNumPartitions() > 4 and temporal.cochanges(held).rdd.getNumPartitions() > 4
     assert graph.oriented(rows.toDF("src", "dst"), "both").rdd.getNumPartitions() > 4
+
+
+def waves_one_by_one(nodes, edges):
+    arcs, left, out, wave = {(a, b) for a, b in edges if a != b and a in nodes and b in nodes}, set(nodes), {}, 0
+    while left:
+        need = {x: sum(a == x for a, _ in arcs) for x in left}
+        ready = [x for x in left if not need[x]] or [min(left, key=lambda x: (need[x], x))]
+        out |= dict.fromkeys(ready, wave)
+        left -= set(ready)
+        arcs = {(a, b) for a, b in arcs if a in left and b in left}
+        wave += 1
+    return out
+
+
+def test_released_cycles_cost_no_round_each(spark):
+    rng = np.random.default_rng(8)
+    numbers = [(int(a), int(b)) for a, b in rng.integers(0, 60, (130, 2))] + [(x, x + 1) for x in range(100, 130)]
+    for edges in (numbers, [(f"n{a}", f"n{b}") for a, b in numbers]):
+        df = spark.createDataFrame(edges, ["src", "dst"])
+        spark.sparkContext.setJobGroup("waves", "")
+        got = {r.node: r.wave for r in graph.waves(graph.nodes_of(df), df, together=9).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("waves"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert got == waves_one_by_one({x for e in edges for x in e}, edges) and jobs < 400
+        assert len(set(got.values())) > 20
