@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import embed, flows, graph, migration, temporal
+from graphlode.operators import embed, flows, graph, legacy, migration, review, temporal
 
 from oracle import differences
 
@@ -152,3 +152,18 @@ def test_trigrams_are_hashed_once():
         g = t[i : i + 3].encode()
         want[xxhash.xxh3_64_intdigest(g) % 64] += 1.0 if xxhash.xxh3_64_intdigest(g, seed=1) & 1 else -1.0
     assert (v == want / np.linalg.norm(want)).all()
+
+
+def test_lines_are_shuffled_once_for_anti_patterns(spark):
+    lines = spark.range(1000).select(F.lit(1).alias("change"), (F.col("id") % 50).alias("file"), F.lit("alpha beta gamma delta").alias("line"))
+    patterns = spark.createDataFrame([(7, ["alpha", "beta", "gamma", "delta", "other"])], "pattern long, terms array<string>")
+    out = review.anti_patterns(lines, patterns)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and out.count() == 50
+
+
+def test_pages_of_one_file_go_to_many_tasks(spark):
+    files = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("path"), F.lit("L.map(x); <% Session(\"a\") = 1 %>").alias("content"))
+    for out in (legacy.map_parts(files), legacy.classic(files)):
+        assert out.rdd.getNumPartitions() >= 4 and out.count() == 40
+    assert "Exchange" not in legacy.map_parts(files)._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
