@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlode.lineage import cut
+from graphlode.lineage import cut, dealt
 from graphlode.operators.extract import all_of, named
 
 QUOTED = """['"]([^'"]+)['"]"""
@@ -99,7 +99,8 @@ def bridge(files: DataFrame) -> DataFrame:
 def map_parts(files: DataFrame) -> DataFrame:
     """``path``, ``library``, ``kind``, ``name`` of the maps in scripts, with how often; keys are known by their fingerprint only."""
     flat = {f"{library}/{kind}": p for library, kinds in MAPS.items() for kind, p in kinds.items()}
-    rows = files.select("path", F.inline(found(F.col("content"), flat)))
+    # Files are dealt by path, so a task counts its own files and holds a bounded share of them.
+    rows = dealt(files.select("path", "content"), "path").select("path", F.inline(found(F.col("content"), flat)))
     part = F.split("kind", "/")
     name = F.when(part[1] == "key", F.left(F.sha2("name", 256), F.lit(12))).otherwise(F.col("name"))
     return rows.select("path", part[0].alias("library"), part[1].alias("kind"), name.alias("name")).groupBy("path", "library", "kind", "name").agg(F.count("*").alias("n"))
@@ -112,7 +113,8 @@ def classic(files: DataFrame) -> DataFrame:
     sql = F.filter(acts, lambda a: a["kind"] == "sql")
     tables = F.flatten(F.transform(sql, lambda a: F.transform(all_of(a["name"], TABLES, 1), lambda t: F.struct(F.lit("table").alias("kind"), F.lower(t).alias("name")))))
     every = F.concat(acts, tables, found(F.col("content"), {"include": INCLUDE}))
-    return files.select("path", F.inline(F.array_distinct(every)))
+    # Patterns cost far more than the rows they read: few files of a table must not mean few tasks.
+    return dealt(files.select("path", "content"), "path").select("path", F.inline(F.array_distinct(every)))
 
 
 def control_targets(pages: DataFrame) -> DataFrame:
