@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode.functions import text as tx
+from graphlode.lineage import dealt
 from graphlode.operators import retrieval
 
 BUCKETS = 64
@@ -25,8 +26,9 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str, tokens=tx.words) -> DataFrame:
-    """(``key``, ``term``, ``tf``, ``len``), one row for each distinct term of a document, counted before they are shuffled."""
-    rows = docs.select(F.col(key), tokens(F.col(text)).alias("all")).select(key, F.size("all").alias("len"), F.explode("all").alias("term"))
+    """(``key``, ``term``, ``tf``, ``len``), one row for each distinct term of a document."""
+    # Documents are dealt by key, so their terms are counted where they are and shuffled once, to their buckets.
+    rows = dealt(docs.select(key, text), key).select(F.col(key), tokens(F.col(text)).alias("all")).select(key, F.size("all").alias("len"), F.explode("all").alias("term"))
     return rows.groupBy(key, "term", "len").agg(F.count("*").cast("int").alias("tf")).select(key, "term", "tf", "len")
 
 

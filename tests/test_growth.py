@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import embed, flows, graph, legacy, migration, review, temporal
+from graphlode.operators import embed, flows, graph, index, legacy, migration, review, temporal
 
 from oracle import differences
 
@@ -167,3 +167,11 @@ def test_pages_of_one_file_go_to_many_tasks(spark):
     for out in (legacy.map_parts(files), legacy.classic(files)):
         assert out.rdd.getNumPartitions() >= 4 and out.count() == 40
     assert "Exchange" not in legacy.map_parts(files)._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+
+
+def test_postings_are_counted_without_a_shuffle_of_their_own(spark):
+    docs = spark.range(200).select(F.col("id").alias("k"), F.concat(F.lit("word word x"), F.col("id")).alias("t"))
+    rows = index.postings(docs, "k", "t")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan.split("Generate")[0]
+    assert {(r.tf, r.len) for r in rows.filter("term = 'word'").collect()} == {(2, 3)} and rows.count() == 400
