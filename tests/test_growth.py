@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphlode import plans
-from graphlode.operators import embed, flows, graph, index, legacy, migration, review, temporal
+from graphlode.operators import embed, flows, graph, index, legacy, migration, resolve, review, temporal
 
 from oracle import differences
 
@@ -20,14 +20,14 @@ def folder(spark, path, **columns):
     return str(path)
 
 
-def widest(df):
-    """Rows of the operator with the most of them, and the result."""
+def widest(df, of=""):
+    """Rows of the operator (with ``of`` in its name) with the most of them, and the result."""
     rows = df.collect()
     stack, most = [df._jdf.queryExecution().executedPlan()], 0
     while stack:
         p = stack.pop()
         n = p.metrics().get("numOutputRows")
-        most = max(most, n.get().value() if n.isDefined() else 0)
+        most = max(most, n.get().value() if n.isDefined() and of in p.nodeName() else 0)
         kind = p.getClass().getSimpleName()
         if kind == "AdaptiveSparkPlanExec":
             stack.append(p.executedPlan())
@@ -44,6 +44,17 @@ def test_innermost_function_looks_a_point_up_once(spark, tmp_path):
     assert most <= 4 * N and len(rows) == N and {r.symbol for r in rows} == {2 * 49850}
 
 
+def test_equal_hits_meet_the_symbols_once(spark, tmp_path):
+    at = folder(spark, tmp_path, lineitem={"l_orderkey": "{i} * 50", "l_partkey": "{i} * 997", "l_linenumber": "CAST(1 + {i} % 2 AS INT)"}, part={"p_partkey": "{i} * 49850", "p_size": "CAST({i} % 3 AS INT)"})
+    most, rows = widest(plans.QUERIES["hit_symbol_range_join"](spark, at), "Join")
+    assert most == 2 * N and len(set(rows)) == len(rows) == N * N
+    more = resolve.overlap_pairs(
+        spark.createDataFrame([(1, 5, 9, 7, None), (1, 5, 9, 7, "b"), (1, 9, 40, 8, "c"), (1, 9, 8, 9, "d"), (None, 5, 9, 1, "e")], "on long, s long, e long, hit long, note string"),
+        spark.createDataFrame([(1, 9, 33, 1), (1, 41, 50, 2), (2, 5, 9, 3), (None, 5, 9, 4)], "on long, fs long, fe long, symbol long"), "on", ("s", "e"), ("fs", "fe"), 4,
+    )
+    assert {(r.s, r.hit, r.note, r.symbol) for r in more.collect()} == {(5, 7, None, 1), (5, 7, "b", 1), (9, 8, "c", 1)} and more.count() == 3
+
+
 def test_runtime_rows_do_not_meet_all_functions_of_a_file(spark, tmp_path):
     at = folder(spark, tmp_path, events={"event_id": "{i} * 2000", "user_id": "{i} * 20", "event_type": "'error'"}, part={"p_partkey": "{i} * 2800", "p_size": "5"})
     most, rows = widest(plans.QUERIES["runtime_to_node"](spark, at))
