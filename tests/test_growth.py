@@ -152,6 +152,41 @@ def test_released_cycles_cost_no_round_each(spark):
         assert len(set(got.values())) > 20
 
 
+def ranks_one_by_one(edges, rounds=20):
+    nodes, out = {x for e in edges for x in e}, {}
+    for a, _ in edges:
+        out[a] = out.get(a, 0) + 1
+    out.pop(None, None)  # as in SQL, what equals nothing is a sink and gets nothing
+    n = len(nodes)
+    rank = dict.fromkeys(nodes, 1 / n)
+    for _ in range(rounds):
+        got, lost = dict.fromkeys(nodes, 0.0), sum(r for x, r in rank.items() if x not in out)
+        for a, b in edges:
+            if a is not None and b is not None:
+                got[b] += rank[a] / out[a]
+        rank = {x: 0.15 / n + 0.85 * (g + lost / n) for x, g in got.items()}
+    return rank
+
+
+def test_a_round_of_ranks_takes_fewer_rows_than_arcs(spark):
+    edges = [(a, 1000 + b) for a in range(30) for b in range(400)]
+    most, rows = widest(graph.pagerank(spark.createDataFrame(edges, ["src", "dst"]), rounds=2, together=1000))
+    want = ranks_one_by_one(edges, 2)
+    assert most < len(edges) / 4 and len(rows) == 430 and all(abs(r.rank - want[r.node]) < 1e-12 for r in rows)
+
+
+def test_ranks_of_hubs_parallel_arcs_and_nulls(spark):
+    rng = np.random.default_rng(5)
+    numbers = [(int(a), int(b)) for a, b in rng.integers(0, 80, (300, 2))] * 2 + [(x, 7) for x in range(200)] + [(3, x) for x in range(300)]
+    texts = [(f"n{a}", f"ñ{b}" if b % 2 else f"n{b}") for a, b in numbers] + [(None, "n1"), ("n2", None), ("n2", None)]
+    for edges in (numbers, texts):
+        df, want = spark.createDataFrame(edges, ["src", "dst"]), ranks_one_by_one(edges, 7)
+        for together in (20, 2_000_000):  # 20: targets with more arcs than a block
+            got = {r.node: r.rank for r in graph.pagerank(df, rounds=7, together=together).collect()}
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    assert not spark.catalog.listTables() and not graph.pagerank(df.limit(0)).count()
+
+
 def test_trigrams_are_hashed_once():
     """A repeated text costs no further hashes, and slots are those of the plain count."""
     text = "Åström 😀 said: the thing, the THING. " * 50
