@@ -152,6 +152,44 @@ def test_released_cycles_cost_no_round_each(spark):
         assert len(set(got.values())) > 20
 
 
+def between_one_by_one(edges, picked, most_depth):
+    arcs = {(a, b) for a, b in edges if a != b}
+    nodes = {x for e in edges for x in e}
+    score = dict.fromkeys(nodes, 0.0)
+    for p in picked:
+        levels, paths, seen = [[p]], {p: 1.0}, {p}
+        while levels[-1] and len(levels) <= most_depth:
+            fresh = {b for a, b in arcs if a in levels[-1]} - seen
+            for b in fresh:
+                paths[b] = sum(paths[a] for a in levels[-1] if (a, b) in arcs)
+            seen |= fresh
+            levels.append(sorted(fresh))
+        credit = dict.fromkeys(seen, 0.0)
+        for near, far in list(zip(levels, levels[1:]))[::-1]:
+            for a in near:
+                credit[a] = sum(paths[a] / paths[b] * (1 + credit[b]) for b in far if (a, b) in arcs)
+        for x in seen - {p}:
+            score[x] += credit[x] * len(nodes) / len(picked)
+    return score
+
+
+def test_levels_of_pivots_cost_no_job_each(spark):
+    rng = np.random.default_rng(6)
+    numbers = [(int(a), int(b)) for a, b in rng.integers(0, 50, (90, 2))] + [(x, x + 1) for x in range(40, 60)] + [(90, 90)]
+    for edges in (numbers, [(f"n{a}", f"n{b}") for a, b in numbers]):
+        df, nodes = spark.createDataFrame(edges, ["src", "dst"]), sorted({x for e in edges for x in e})
+        picked = [nodes[i * len(nodes) // 4] for i in range(4)]
+        for depth, most_arcs in ((64, 1000), (5, 1000), (5, 0)):
+            group = f"pivots {edges[0]} {depth} {most_arcs}"
+            spark.sparkContext.setJobGroup(group, "")
+            got = {r.node: r.score for r in graph.betweenness(df, 4, depth, most_arcs).collect()}
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+            spark.sparkContext.setJobGroup("other", "")
+            want = between_one_by_one(edges, picked, depth)
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and any(want.values())
+            assert jobs < 40 or not most_arcs
+
+
 def ranks_one_by_one(edges, rounds=20):
     nodes, out = {x for e in edges for x in e}, {}
     for a, _ in edges:
