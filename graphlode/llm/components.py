@@ -3,15 +3,23 @@
 Edges stay in tables; no link or component reaches the driver.  Each step is an
 aggregation with map-side combining and an equi-join, so a vertex with very many
 neighbours is a skewed join key that adaptive execution splits.
+
+A step costs several shuffles however few its edges are.  So edges up to ``FEW``,
+at the start or after any step, are settled by one task, whose memory that bounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 
+#: Edges that one task settles: 16 bytes each, about ten times that with its index arrays.
+FEW = 1 << 20
+
 
 def least_neighbour(arcs: DataFrame) -> DataFrame:
     """``u`` and ``m``, the least of ``u`` and its neighbours, from arcs (u, v)."""
@@ -39,14 +47,51 @@ def mark(edges: DataFrame) -> tuple:
     return r.n, r.s
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``v`` and ``component``, the least vertex reachable, for every vertex with an edge."""
-    now = stash(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "edges", few=True)
+def least_reachable(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (x, y), sorted, and the least vertex reachable from each.
+
+    Each round hooks every root to the least root beside it and shortens all paths,
+    which at least halves the roots in two rounds.
+    """
+    vertices, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    up = np.arange(len(vertices))
+    while True:
+        p, q = up[x], up[y]
+        apart = p != q
+        if not apart.any():
+            return vertices, vertices[up]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up != (further := up[up])).any():
+            up = further
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """``v`` and ``component`` from edges (u, v) that fit a task."""
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*held) if held else ([], [])))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in least_reachable(x, y)], ["v", "component"])
+
+    return stash(edges.repartition(1).mapInArrow(run, "v long, component long"), "components")
+
+
+def components(edges: DataFrame, a: str, b: str, few: int = FEW) -> DataFrame:
+    """``v`` and ``component``, the least vertex reachable, for every vertex with an edge.
+
+    ``edges`` are counted before they are read, so they had best be a written table.
+    """
+    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u != v")
+    if pairs.count() <= few:
+        return settled(pairs)
+    now = stash(pairs.distinct(), "edges", few=True)
     seen = mark(now)
-    while seen[0]:
+    while seen[0] > few:
         now = stash(small_star(large_star(now)), "edges", few=True)
         then, seen = seen, mark(now)
         if then == seen:
-            break
-    stars = now.select(F.col("u").alias("v"), F.col("v").alias("component"))
-    return stars.unionByName(now.select("v", F.col("v").alias("component"))).groupBy("v").agg(F.min("component").alias("component"))
+            stars = now.select(F.col("u").alias("v"), F.col("v").alias("component"))
+            return stars.unionByName(now.select("v", F.col("v").alias("component"))).groupBy("v").agg(F.min("component").alias("component"))
+    return settled(now)

@@ -198,6 +198,47 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def reachable(pairs):
+    """The least vertex reachable from each, by plain passes."""
+    least = {v: v for pair in pairs for v in pair if pair[0] != pair[1]}
+    while any(least[a] != least[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+@pytest.mark.parametrize("few", [0, 60, 1 << 20])
+def test_components_by_steps_by_both_and_by_one_task(spark, few):
+    rng = np.random.default_rng(4)
+    pairs = [(int(10 * (i % 5) + a), int(10 * (i % 5) + b)) for i, (a, b) in enumerate(rng.integers(0, 10, (400, 2)))] + [(-(1 << 63), 70), (70, 1 << 40), (80, 80), (91, 90), (91, 90)]
+    got = components.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", few).collect()
+    assert {r.v: r.component for r in got} == reachable(pairs) and len(got) == 55
+    assert components.components(spark.createDataFrame([(3, 3)], "a long, b long"), "a", "b", few).count() == 0
+
+
+def test_least_reachable():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (9, 6), (60, 40), (60, 90), (400, 380)):
+        for _ in range(20):
+            x, y = rng.integers(-n, n, m), rng.integers(-n, n, m)
+            v, low = components.least_reachable(x, y)
+            assert dict(zip(v.tolist(), low.tolist())) == {**{a: a for a in x.tolist()}, **reachable(list(zip(x.tolist(), y.tolist())))}
+
+
+def test_few_links_take_few_jobs(spark):
+    """However long their paths: each step of large-star/small-star costs several shuffles of full width."""
+    edges = components.stash(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), "links")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-links", "components of few links")
+    try:
+        got = components.components(edges, "a", "b").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.v: r.component for r in got} == dict.fromkeys(range(201), 0)
+    assert len(sc.statusTracker().getJobIdsForGroup("few-links")) <= 6
+
+
 @pytest.mark.parametrize("group", [1_000_000, 1])
 def test_decontamination(spark, docs, rows, group):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
