@@ -238,25 +238,22 @@ def link(docs: DataFrame, reps: DataFrame, halves: int, ngram: int, percent: int
     texts = bodies(docs).join(reps.select("k", "n").join(groups, "k"), "k")
     classes = F.floor(F.log("n") / np.log(1.1)).cast("int")
     cand = stash(texts.select("k", "n", "grp", "body", F.length("body").alias("size"), classes.alias("cls")), "minhash-texts", few=True)
-    of_group = cand.groupBy("grp").agg(F.sum("size").alias("all"))
+    of_group = cand.groupBy("grp").agg(F.sum("size").alias("all")).filter(F.col("all") > block_bytes)
     of_class = cand.groupBy("grp", "cls").agg(F.sum("size").alias("part")).join(of_group, "grp")
-    plan = of_class.select(
-        "grp",
-        "cls",
-        F.when(F.col("all") <= block_bytes, -1).otherwise(F.col("cls")).alias("blk"),
-        F.when(F.col("all") <= block_bytes, 1).otherwise(F.ceil(F.col("part") / block_bytes)).cast("int").alias("splits"),
+    # Only large groups are cut, by a table of one row a class, so texts stay where they are.
+    large = stash(of_class.select("grp", "cls", F.ceil(F.col("part") / block_bytes).cast("int").alias("splits")), "minhash-large", few=True)
+    placed = cand.join(large, ["grp", "cls"], "left").withColumns(
+        {"blk": F.when(F.col("splits").isNull(), -1).otherwise(F.col("cls")), "split": F.pmod(F.xxhash64("k"), F.coalesce("splits", F.lit(1))).cast("int")}
     )
-    placed = cand.join(plan, ["grp", "cls"]).withColumn("split", F.pmod(F.xxhash64("k"), F.col("splits")).cast("int"))
     one = placed.select("grp", "blk", "split", "k", F.col("k").alias("label"), F.lit(0).alias("side"), "body")
     links = stash(linked(one, ["grp", "blk", "split"], width, ngram, percent, False), "minhash-links", few=True)
     found = components(links, "a", "b")
 
-    many = stash(plan.filter("blk >= 0").select("grp").distinct(), "minhash-large", few=True)
-    if many.isEmpty():
+    if large.isEmpty():
         return found
 
     def labelled(found):
-        return placed.join(many, "grp", "left_semi").join(found, placed["k"] == found["v"], "left").select("grp", "blk", "split", "k", F.coalesce("component", "k").alias("label"), "body")
+        return placed.filter("blk >= 0").join(found, placed["k"] == found["v"], "left").select("grp", "blk", "split", "k", F.coalesce("component", "k").alias("label"), "body")
 
     # One document for each component of a large group, where those fit a block.
     heads = labelled(found).filter("label = k")
